@@ -20,23 +20,39 @@ def hot_keys(counts: DataFrame, key: str, count: str, share: float = HOT_SHARE)
     return counts.where(F.col(count) >= F.greatest(total * share, F.lit(2))).select(key)
 
 
-def spread_join(facts: DataFrame, side: DataFrame, on: Sequence[str], hot: DataFrame,
-                salt_by: Sequence[str], how: str = "inner", spread: int = SPREAD) -> DataFrame:
+def planned_bytes(df: DataFrame) -> int:
+    """The size Catalyst plans with; for a written table that is its real file size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return planned_bytes(df) <= threshold
+
+
+def spread_join(facts: DataFrame, side: DataFrame, on: Sequence[str], hot_on: str,
+                salt_by: Sequence[str], how: str = "inner",
+                counts: DataFrame | None = None, spread: int = SPREAD) -> DataFrame:
     """Join on keys whose hot values are split over several tasks.
 
-    `hot` holds the hot values of one of the join columns.  Rows with such a
-    value get a salt from their own columns; the matching rows of the other
-    side are repeated once per salt value.  Nothing is dropped, and the rows
-    of all other keys are joined as usual.
+    If one side is small enough for Catalyst to broadcast, nothing is shuffled
+    by key and this is a plain join.  Otherwise the hot values of the column
+    `hot_on` are counted (or taken from `counts(hot_on, n)`).  Rows with such
+    a value get a salt from their own columns, and the matching rows of the
+    other side are repeated once per salt value.  Nothing is dropped, and the
+    rows of all other keys are joined as usual.
     """
-    hot_column = hot.columns[0]
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    if fits_broadcast(side) or (how == "inner" and fits_broadcast(facts)):
+        return facts.join(side, list(on), how)
+    if counts is None:
+        counts = facts.groupBy(hot_on).agg(F.count("*").alias("n"))
+    marked = F.broadcast(hot_keys(counts, hot_on, "n").withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(*[F.col(name) for name in salt_by]), F.lit(spread)).cast("int")
-    left = facts.join(marked, hot_column, "left").withColumn(
+    left = facts.join(marked, hot_on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(
         F.array(F.lit(0)))
-    right = side.join(marked, hot_column, "left").withColumn(
+    right = side.join(marked, hot_on, "left").withColumn(
         "_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
@@ -45,10 +61,9 @@ def join_by_text(facts: DataFrame, side: DataFrame, text: str,
                  salt_by: Sequence[str], how: str = "left") -> DataFrame:
     """Join on a long text column; hot texts are found by a hash of the text."""
     digest = F.xxhash64(F.col(text))
-    counts = facts.groupBy(digest.alias("_digest")).agg(F.count("*").alias("n"))
     return spread_join(
         facts.withColumn("_digest", digest), side.withColumn("_digest", digest),
-        ["_digest", text], hot_keys(counts, "_digest", "n"), salt_by, how).drop("_digest")
+        ["_digest", text], "_digest", salt_by, how).drop("_digest")
 
 
 def running_number(df: DataFrame, order: str, name: str, width: int = 1_000_000) -> DataFrame:

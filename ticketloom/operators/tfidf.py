@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions.fixed_values import english_stop_words
 from ticketloom.functions.text import joined_text, with_bigrams, words
-from ticketloom.operators.skew import hot_keys, spread_join
+from ticketloom.operators.skew import spread_join
 from ticketloom.session import materialise, shuffle_partitions
 
 META_FIELDS = ("category", "subcategory", "title")
@@ -92,8 +92,8 @@ def fit_index(articles: DataFrame, stop_words: Sequence[str] | None = None) -> S
         F.when(F.col("meta_df") > 0, smooth_idf(documents, F.col("meta_df")))
         .alias("meta_idf")), "vocabulary")
 
-    weighted = spread_join(
-        counted, vocabulary, ["term"], hot_keys(vocabulary, "term", "full_df"), ["id"])
+    weighted = spread_join(counted, vocabulary, ["term"], "term", ["id"],
+                           counts=vocabulary.select("term", F.col("full_df").alias("n")))
     postings = materialise(weighted.select(
         "term", "id",
         F.coalesce(F.col("meta") * F.col("meta_idf"), F.lit(0.0)).alias("meta"),
@@ -122,7 +122,8 @@ def tfidf_terms(df: DataFrame, key: str, text: str, max_terms: int | None = None
     vocabulary = materialise(vocabulary, "vocabulary")
     documents = df.agg(F.count("*").cast("double")).scalar()
     weighted = spread_join(
-        counted, vocabulary, ["term"], hot_keys(vocabulary, "term", "df"), [key]).select(
+        counted, vocabulary, ["term"], "term", [key],
+        counts=vocabulary.select("term", F.col("df").alias("n"))).select(
         key, "term", "count", "df",
         (F.col("count") * smooth_idf(documents, F.col("df"))).alias("raw"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
