@@ -58,7 +58,8 @@ def ticket_severity_priority(spark, sf_dir):
 
 def ticket_diagnosis(spark, sf_dir):
     return bridge.tickets(spark, sf_dir).select(
-        "ticket_id", F.inline(F.array(rules.diagnosis_record(F.col("description")))))
+        "ticket_id", rules.diagnosis_record(F.col("description")).alias("record")).select(
+        "ticket_id", "record.*")
 
 
 def conversation_diagnosis(spark, sf_dir):
