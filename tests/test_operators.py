@@ -215,3 +215,12 @@ def test_plans(spark, sf_dir):
     text = summary.toString()
     assert "BatchEvalPython" not in text and "CartesianProduct" not in text
     assert "props" not in text  # columns that are not used are not read
+
+
+def test_low_cardinality_is_exact_at_the_limit(spark):
+    df = spark.range(500).select(
+        (F.col("id") % 20).alias("twenty"), (F.col("id") % 21).alias("more"), "id",
+        F.when(F.col("id") % 2 == 0, "x").alias("half"))
+    got = profile.low_cardinality_values(df).groupBy("column_name").agg(
+        F.count("*").alias("k"), F.sum("n").alias("n")).collect()
+    assert {tuple(r) for r in got} == {("twenty", 20, 500), ("half", 1, 250)}

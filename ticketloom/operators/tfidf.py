@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketloom.functions.fixed_values import english_stop_words
@@ -126,6 +126,6 @@ def tfidf_terms(df: DataFrame, key: str, text: str, max_terms: int | None = None
         counts=vocabulary.select("term", F.col("df").alias("n"))).select(
         key, "term", "count", "df",
         (F.col("count") * smooth_idf(documents, F.col("df"))).alias("raw"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, key).select(
-        key, "term", "count", "df", (F.col("raw") / F.col("norm")).alias("weight"))
+    # One more shuffle by key gives both the lengths and the weights.
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", "count", "df", (F.col("raw") / length).alias("weight"))
