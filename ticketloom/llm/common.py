@@ -41,14 +41,23 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, step: Callable, schema: str, text: str = "text") -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow whose workers can import this package, wherever they were started."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = df.sparkSession.sparkContext.environment
+    if home not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join([home, *filter(None, [paths.get("PYTHONPATH")])])
+    return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, step: Callable, schema, text: str = "text") -> DataFrame:
     """mapInArrow in bounded slices; step turns one record batch into one."""
     def run(batches):
         for piece in slices(batches, text):
             out = step(piece)
             if out is not None and out.num_rows:
                 yield out
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import encoded, map_batches
+from ticketloom.llm.common import encoded, map_arrow, map_batches
 from ticketloom.llm.encode import encoder
 from ticketloom.session import materialise
 
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
 
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kind = dict(pieces.dtypes)["doc_id"]
-    return ranked.mapInArrow(place, (
+    return map_arrow(ranked, place, (
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
         + "ids binary, " * with_ids + "sequence_id long, offset long"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketloom.llm import packing, token_files
+from ticketloom.llm import packing, quality, simhash, token_counts, token_files
 from ticketloom.llm.common import table
 
 QUERIES = {}
@@ -22,6 +22,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    """Tokens per line of source, language and text, as one document of three fields."""
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"),
+        ["source", "lang", "text"])
+
+
+@query
+def op2_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 @query
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"),

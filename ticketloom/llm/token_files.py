@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import encoded, map_batches, slices
+from ticketloom.llm.common import encoded, map_arrow, map_batches, slices
 from ticketloom.llm.encode import encoder
 from ticketloom.session import materialise, new_folder
 
@@ -108,7 +108,7 @@ def count_ids(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(step, "id long, n long").groupBy("id").agg(
+    rows = map_arrow(tokens.select("ids"), step, "id long, n long").groupBy("id").agg(
         F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for row in rows.collect():
@@ -156,8 +156,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
         if ids:
             yield out()
 
-    placed.mapInArrow(
-        step, f"shard int, block int, n_tokens long, doc_ids array<{id_type}>, payload binary"
+    map_arrow(
+        placed, step, f"shard int, block int, n_tokens long, doc_ids array<{id_type}>, payload binary"
     ).write.parquet(f"{path}/blocks")
 
 
@@ -198,8 +198,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return blocks.join(starts, ["shard", "block"]).select(
-        "doc_ids", "payload", "start").mapInArrow(step, schema)
+    return map_arrow(blocks.join(starts, ["shard", "block"]).select(
+        "doc_ids", "payload", "start"), step, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
