@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketloom.llm import packing, quality, simhash, token_counts, token_files
+from ticketloom.llm import (
+    contamination,
+    oracles,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+    urls,
+)
 from ticketloom.llm.common import table
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = {
+    "op7_url_filter": oracles.OP7,
+    "op8_benchmark_decontamination": oracles.OP8,
+}
 
 
 def query(run):
@@ -51,3 +63,26 @@ def op4_best_fit_packing(spark, sf_dir):
 def op5_token_files(spark, sf_dir):
     return token_files.round_trip(
         table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+#: Rules of the URL filter, longest first to apply.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"),
+             ("allow", "org/fr/")]
+#: Hosts whose pages' canonical URLs make up the list of the query.
+LISTED_HOSTS = r"(^|\.)(cheap-pills|spam-farm)\."
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    """The list holds the canonical URLs of the pages of the listed hosts."""
+    pages = table(spark, sf_dir, "pages")
+    host, path = urls.host(F.col("url")), urls.path(F.col("url"))
+    listed = pages.where(host.rlike(LISTED_HOSTS)).select(urls.canonical(host, path).alias("key"))
+    return urls.judge_urls(pages, listed, URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op8_benchmark_decontamination(spark, sf_dir):
+    return contamination.contaminated_report(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
