@@ -8,7 +8,9 @@ the place where the window would start; it must lie inside the document (positio
 length bounds), and there the words are compared exactly.
 
 All steps are built-in functions. A document's words are exploded, joined with the prefix
-words and compared in one pipelined stage, so nothing but hits is shuffled. The windows are
+words and compared in one compiled stage, so nothing but hits is shuffled, and the array of
+a document's words is not copied for each of them. (A lambda would end that: it is not
+compiled, and each exploded row would carry a copy of the whole document.) The windows are
 broadcast in blocks of at most BLOCK_WINDOWS rows: the join side is bounded, and a larger
 benchmark takes more passes over the documents, never a larger broadcast.
 
@@ -41,14 +43,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), BETWEEN_WORDS), "")
 
 
-def lowered(words: Column) -> Column:
-    return F.transform(words, lambda word: F.translate(word, UPPER, LOWER))
+def joined(words: Column) -> Column:
+    """The words as one text, separated by blanks (no word holds one), in lower case."""
+    return F.translate(F.array_join(words, " "), UPPER, LOWER)
 
 
 def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(words, items): the distinct windows, each with the ids of its items."""
-    own = items.select(F.col(id_col).cast("string").alias("item"),
-                       lowered(words_of(F.col(text_col))).alias("all"))
+    own = items.select(F.col(id_col).cast("string").alias("item"), words_of(
+        F.translate(F.col(text_col).cast("string"), UPPER, LOWER)).alias("all"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - (size - 1), F.lit(1)))
     return own.where(F.size("all") > 0).select("item", "all", F.explode(starts).alias("at")).select(
         "item", F.slice("all", F.col("at"), F.lit(size)).alias("words")).groupBy("words").agg(
@@ -56,7 +59,8 @@ def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> Dat
 
 
 def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(token, offset, words, items): each window with its rarest word in the documents.
+    """(token, offset, window, size, items): each window, as a text of so many words, with its
+    rarest word in the documents.
 
     Counts are over all documents; a tie goes to the word first in order. Only words
     of the benchmark are counted, so the counts are as many as these.
@@ -70,7 +74,8 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
     rarest = tokens.join(counts, "token", "left").groupBy("words").agg(F.min(F.struct(
         F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("rare"))
     return rarest.join(windows, "words").select(
-        F.col("rare.token").alias("token"), F.col("rare.offset").alias("offset"), "words", "items")
+        F.col("rare.token").alias("token"), F.col("rare.offset").alias("offset"),
+        joined(F.col("words")).alias("window"), F.size("words").alias("size"), "items")
 
 
 def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -81,12 +86,12 @@ def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
         "doc_id", "digest", "all", F.size("all").alias("n_words"),
         F.posexplode(F.array_append("all", F.lit(END))).alias("at", "word"))
     start = F.col("at") - F.col("offset")
-    fits = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
-    same = lowered(F.slice("all", F.greatest(start, F.lit(0)) + 1, F.size("words"))) == F.col("words")
+    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    same = joined(F.slice("all", F.greatest(start, F.lit(0)) + 1, F.col("size"))) == F.col("window")
     return spread.join(F.broadcast(windows), F.lower("word") == F.col("token")).where(
-        F.col("words").isNull() | (fits & same)).select(
-        "doc_id", "digest", "n_words", F.when(F.col("words").isNotNull(), start).alias("start"),
-        F.size("words").alias("size"), "items")
+        F.col("window").isNull() | (fits & same)).select(
+        "doc_id", "digest", "n_words", F.when(F.col("window").isNotNull(), start).alias("start"),
+        "size", "items")
 
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
@@ -105,12 +110,12 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: st
     blocks = max(1, -(-n // BLOCK_WINDOWS))
     end = made.sparkSession.range(1).select(
         F.lit(END).alias("token"), F.lit(None).cast("int").alias("offset"),
-        F.lit(None).cast("array<string>").alias("words"),
+        F.lit(None).cast("string").alias("window"), F.lit(None).cast("int").alias("size"),
         F.lit(None).cast("array<string>").alias("items"))
     found = []
     for block in range(blocks):
         part = made if blocks == 1 else made.where(
-            F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+            F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         found.append(matches(pair, part.unionByName(end) if not block else part))
     span = F.when(F.col("start").isNotNull(), F.struct(
         "start", (F.col("start") + F.col("size")).alias("end")))
