@@ -53,3 +53,53 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS words
+  FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS s FROM d)),
+owners AS (
+  SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING max(doc_id) > min(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS place
+  FROM windows JOIN owners USING (w) WHERE doc_id > least),
+spread AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM spread ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS b
+  FROM (SELECT *, unnest(range(0, len(h) // 2 - 99)) AS s FROM d)),
+later AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, s, min((doc_id, s)) OVER (PARTITION BY b) AS least FROM strings)
+  WHERE least <> (doc_id, s)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 100)) AS place FROM later),
+runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < place - 1)
+    AS n_spans
+  FROM (SELECT *, lag(place) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM gone)
+  GROUP BY doc_id),
+spread AS (
+  SELECT doc_id, place, substr(h, 2 * place + 1, 2) AS pair
+  FROM (SELECT *, unnest(range(0, len(h) // 2)) AS place FROM d)),
+kept AS (
+  SELECT doc_id, string_agg(pair, '' ORDER BY place) AS h
+  FROM spread ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

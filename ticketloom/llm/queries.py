@@ -10,16 +10,20 @@ from ticketloom.llm import (
     packing,
     quality,
     simhash,
+    suffixes,
     token_counts,
     token_files,
     urls,
+    word_windows,
 )
 from ticketloom.llm.common import table
 
 QUERIES = {}
 ORACLES = {
+    "op6_substring_dedup": oracles.OP6,
     "op7_url_filter": oracles.OP7,
     "op8_benchmark_decontamination": oracles.OP8,
+    "op9_suffix_array_dedup": oracles.OP9,
 }
 
 
@@ -86,3 +90,23 @@ def op7_url_filter(spark, sf_dir):
 def op8_benchmark_decontamination(spark, sf_dir):
     return contamination.contaminated_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def removed(spans):
+    """The length of merged spans, in all."""
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"])
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return word_windows.remove_repeats(table(spark, sf_dir, "documents"), window=50).select(
+        "doc_id", "n_words", removed(F.col("spans")).alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=100).select(
+        "doc_id", "n_bytes", removed(F.col("spans")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
