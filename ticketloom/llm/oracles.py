@@ -81,12 +81,13 @@ FROM d LEFT JOIN kept USING (doc_id)
 OP9 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 strings AS (
-  SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS b
+  SELECT doc_id, s, doc_id * 4294967296 + s AS place, md5_number(substr(h, 2 * s + 1, 200)) AS b
   FROM (SELECT *, unnest(range(0, len(h) // 2 - 99)) AS s FROM d)),
 later AS (
   SELECT doc_id, s FROM (
-    SELECT doc_id, s, min((doc_id, s)) OVER (PARTITION BY b) AS least FROM strings)
-  WHERE least <> (doc_id, s)),
+    SELECT *, least FROM strings JOIN (
+      SELECT b, min(place) AS least FROM strings GROUP BY b HAVING count(*) > 1) USING (b))
+  WHERE least <> place),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 100)) AS place FROM later),
 runs AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < place - 1)

@@ -8,6 +8,7 @@ from ticketloom.llm import (
     contamination,
     oracles,
     packing,
+    personal_data,
     quality,
     simhash,
     suffixes,
@@ -110,3 +111,8 @@ def op9_suffix_array_dedup(spark, sf_dir):
         "doc_id", "n_bytes", removed(F.col("spans")).alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_personal_data(spark, sf_dir):
+    return personal_data.report(table(spark, sf_dir, "documents"))
