@@ -17,10 +17,17 @@ import unicodedata
 
 import numpy as np
 
-#: Words kept per worker, about 100 MB.
-CACHE_WORDS = 400_000
+#: Words kept per worker in each of two generations, about 80 MB each.
+CACHE_WORDS = 350_000
+#: Marks at the end of a word that are a pre-token by themselves, after a letter.
+MARKS = ".,;:!?%*$#&|)"
 CHUNK = 200
-BLANKS = re.compile(r"\s\s|\A\s|\s\Z")
+DOUBLE = re.compile(r"\s\s")
+
+
+def irregular(text: str) -> bool:
+    """Whether white space stands at an end of the text or next to other white space."""
+    return text[:1].isspace() or text[-1:].isspace() or DOUBLE.search(text) is not None
 
 
 class Encoder:
@@ -42,6 +49,8 @@ class Encoder:
         self.size = len(self.bytes_of)
         self.kind = self._kind(made)
         self.cache: dict = {}
+        self.older: dict = {}
+        self.marks: dict = {}
 
     @staticmethod
     def _kind(made: dict) -> str:
@@ -67,7 +76,7 @@ class Encoder:
         if self.kind == "whole":
             return [self.whole(text.decode()) for text in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         out = []
         for text in texts:
             if self.kind == "dropped":
@@ -77,7 +86,7 @@ class Encoder:
                 if not plain:
                     out.append(b"")
                     continue
-                if BLANKS.search(plain):
+                if irregular(plain):
                     out.append(self.whole(plain))
                     continue
                 words = plain.replace("\n", " \n").split(" ")
@@ -85,15 +94,42 @@ class Encoder:
             get = self.cache.get
             found = [get(word) for word in words]
             if None in found:
-                missing = {word for word, ids in zip(words, found, strict=True) if ids is None}
-                self.learn(list(missing))
+                self.learn({word for word, ids in zip(words, found, strict=True) if ids is None})
                 cache = self.cache
                 found = [cache[word] for word in words]
             ids = b"".join(found)
             out.append(ids if self.kind == "dropped" else ids[4:])
         return out
 
-    def learn(self, words: list) -> None:
+    def learn(self, words: set) -> None:
+        """Put words into the cache: from the older one, or a known stem and marks, or anew."""
+        older, cache = self.older, self.cache
+        fresh, made = set(), []
+        for word in words:
+            if word in older:
+                cache[word] = older[word]
+                continue
+            plain = word if self.kind == "spaced" else word.decode()
+            stem = plain.rstrip(MARKS)
+            if len(stem) < len(plain) and stem[-1:].isalpha():
+                key = stem if self.kind == "spaced" else stem.encode()
+                made.append((word, key, plain[len(stem):]))
+                if key not in cache:
+                    if key in older:
+                        cache[key] = older[key]
+                    else:
+                        fresh.add(key)
+            else:
+                fresh.add(word)
+        self.add(list(fresh))
+        for word, key, marks in made:
+            if marks not in self.marks:
+                if len(self.marks) > CACHE_WORDS:
+                    self.marks.clear()
+                self.marks[marks] = self.whole(marks)
+            cache[word] = cache[key] + self.marks[marks]
+
+    def add(self, words: list) -> None:
         """Encode new words, many in one call; token lengths tell where each one ends."""
         if self.kind == "dropped":
             units = {word: word.decode() for word in words}
@@ -117,7 +153,7 @@ class Encoder:
                     self.cache[key] = self.whole(units[key])
                 continue
             data, start = ids.tobytes(), 0
-            for key, end in zip(keys, (at + 1) * 4, strict=True):
+            for key, end in zip(keys, ((at + 1) * 4).tolist(), strict=True):
                 self.cache[key] = data[start:end]
                 start = end
         for key in set(words).difference(alike):

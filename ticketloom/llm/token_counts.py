@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.llm.common import encoded, map_batches
-from ticketloom.llm.encode import BLANKS, CHUNK, encoder
+from ticketloom.llm.encode import CHUNK, encoder, irregular
 
 #: Words kept per worker with their token spans.
 CACHE_WORDS = 300_000
@@ -43,7 +43,7 @@ class SpanEncoder:
         """One row (start, end) per token of encode(text, add_special_tokens=False)."""
         if not text:
             return np.empty((0, 2), np.int32)
-        if self.encoder.kind != "spaced" or BLANKS.search(text):
+        if self.encoder.kind != "spaced" or irregular(text):
             return self.whole(text)
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()

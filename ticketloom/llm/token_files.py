@@ -25,7 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.llm.common import encoded, map_arrow, map_batches, slices
@@ -131,14 +131,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     id_type = dict(tokens.dtypes)["doc_id"]
 
     def step(batches):
-        shard, block, ids, sizes, ranks, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        shard, before, ids, sizes, ranks, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def out():
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()),
+                [pa.array([shard], pa.int32()), pa.array([before], pa.int64()),
                  pa.array([held], pa.int64()), pa.array([ids], pa.list_(arrow_id[0])),
                  pa.array([encode_block(sizes, np.concatenate(ranks))], pa.binary())],
-                ["shard", "block", "n_tokens", "doc_ids", "payload"])
+                ["shard", "start", "n_tokens", "doc_ids", "payload"])
 
         arrow_id = []
         for batch in slices(batches, "ids"):
@@ -152,32 +152,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
                 held += len(found)
                 if held >= BLOCK_TOKENS:
                     yield out()
-                    block, ids, sizes, ranks, held = block + 1, [], [], [], 0
+                    before, ids, sizes, ranks, held = before + held, [], [], [], 0
         if ids:
             yield out()
 
     map_arrow(
-        placed, step, f"shard int, block int, n_tokens long, doc_ids array<{id_type}>, payload binary"
+        placed, step, f"shard int, start long, n_tokens long, doc_ids array<{id_type}>, payload binary"
     ).write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Documents from the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids.
 
-    start counts the ids of all documents before. Shards are added up first, so no task
-    orders all blocks.
+    start counts the ids of all documents before: a block knows those of its shard, and the
+    driver adds up the shards, one number for each task that wrote.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     token_of = np.frombuffer(spark.read.parquet(f"{path}/ranks").first().ids, "<u4")
-    earlier = (Window.unboundedPreceding, -1)
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    offsets = shards.select("shard", F.coalesce(F.sum("n").over(
-        Window.orderBy("shard").rowsBetween(*earlier)), F.lit(0)).alias("shard_start"))
-    inside = blocks.select("shard", "block", F.coalesce(F.sum("n_tokens").over(
-        Window.partitionBy("shard").orderBy("block").rowsBetween(*earlier)), F.lit(0)).alias(
-        "block_start"))
-    starts = inside.join(offsets, "shard").select(
-        "shard", "block", (F.col("shard_start") + F.col("block_start")).alias("start"))
+    shards = sorted(blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
+    ends = np.cumsum([row.n for row in shards], dtype=np.int64)
+    before = {row.shard: int(end) - row.n for row, end in zip(shards, ends, strict=True)}
     id_type = dict(blocks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     schema = (f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"
               + ", ids binary" * with_ids)
@@ -188,9 +182,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 sizes, ranks = decode_block(batch.column("payload")[at].as_py())
                 ids = token_of[ranks].astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
+                start = batch.column("start")[at].as_py() + before[batch.column("shard")[at].as_py()]
                 cut = [ids[4 * (end - n):4 * end] for end, n in zip(ends, sizes, strict=True)]
                 arrays = [batch.column("doc_ids")[at].values,
-                          pa.array(ends - sizes + batch.column("start")[at].as_py()),
+                          pa.array(ends - sizes + start),
                           pa.array(sizes), pa.array([zlib.crc32(one) for one in cut], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
@@ -198,8 +193,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return map_arrow(blocks.join(starts, ["shard", "block"]).select(
-        "doc_ids", "payload", "start"), step, schema)
+    return map_arrow(blocks.select("shard", "start", "doc_ids", "payload"), step, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
