@@ -111,7 +111,8 @@ class Encoder:
                 continue
             plain = word if self.kind == "spaced" else word.decode()
             stem = plain.rstrip(MARKS)
-            if len(stem) < len(plain) and stem[-1:].isalpha():
+            last = stem[-1:]  # a letter that is still one letter in lower case
+            if len(stem) < len(plain) and last.isalpha() and len(last.lower()) == 1:
                 key = stem if self.kind == "spaced" else stem.encode()
                 made.append((word, key, plain[len(stem):]))
                 if key not in cache:
