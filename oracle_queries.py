@@ -201,7 +201,7 @@ def asked(source: str) -> str:
 
 BENCHMARK = "tickets AS (SELECT item_id AS ticket_id, text AS description FROM benchmark)"
 TURNS = """tickets AS (SELECT conv_id * 10000 + turn AS ticket_id, text AS description
-  FROM conversations WHERE role = 'user')"""
+  FROM conversations)"""
 REPORTS = """tickets AS (SELECT id AS ticket_id,
   'User reported ' || title || '. Further investigation needed.' AS description,
   category AS actual_category, subcategory AS actual_subcategory FROM kb)"""
@@ -448,12 +448,12 @@ ORACLES: dict[str, str] = {
       SELECT *, ticket_subject || ' ' || ticket_description AS customer_query,
         ticket_subject || ' ' || ticket_description || ' ' || ticket_subject || ' '
         || ticket_description AS text FROM c""",
-    "audit_records": f"""WITH c AS (SELECT conv_id, turn, {strip('''coalesce(CASE turn WHEN 1
-        THEN ' ' || chr(9) WHEN 3 THEN NULL ELSE text END, '')''')} AS description
-        FROM conversations) SELECT *, CASE WHEN description = ''
+    "audit_records": f"""WITH a AS (SELECT conv_id, turn, unnest([text, ' ' || chr(9), NULL])
+        AS given FROM conversations), c AS (SELECT conv_id, turn,
+        {strip("coalesce(given, '')")} AS description FROM a) SELECT *, CASE WHEN description = ''
         THEN 'Ticket description is required.' END AS error FROM c""",
-    "lowered_orders": """SELECT o_orderkey, lower(CASE WHEN o_orderstatus <> 'P'
-      THEN o_orderstatus ELSE '' END) AS status FROM orders""",
+    "lowered_orders": """SELECT o_orderkey, lower(o_orderpriority) AS o_orderpriority
+      FROM orders""",
     "table_shape": f"SELECT count(*) AS n_rows, CAST({len(ORDER_COLUMNS)} AS BIGINT) AS n_columns FROM orders",
     "null_counts": f"WITH {TICKETS} " + null_count_rows(
         "tickets", TICKET_COLUMNS, "count(*) - count({c})", "n_null"),
@@ -650,9 +650,13 @@ ORACLES |= {
     "table_append": f"""WITH {TICKETS}, both_parts AS (
         SELECT ticket_id, created_at, status, coalesce(department, 'IT') AS department FROM tickets
         UNION ALL SELECT ticket_id, created_at, 'Open', 'IT' FROM tickets)
-      SELECT strftime(created_at, '%Y-%m-%d') AS day, status, department, count(*) AS n,
-        count(DISTINCT ticket_id) AS n_tickets FROM both_parts GROUP BY ALL""",
+      SELECT day, status, department, n, n_tickets, n_refused FROM (
+        SELECT strftime(created_at, '%Y-%m-%d') AS day, status, department, count(*) AS n,
+          count(DISTINCT ticket_id) AS n_tickets FROM both_parts GROUP BY ALL)
+      JOIN (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n_refused FROM tickets
+        GROUP BY ALL) USING (day)""",
     "metric_append": f"""WITH {METRICS}, stored AS (SELECT * REPLACE (false AS kb_found,
+      CASE WHEN metric_id % 11 = 0 THEN 0.0 ELSE ai_response_time END AS ai_response_time,
       CAST(NULL AS DOUBLE) AS customer_rating) FROM metrics) SELECT {rates(4)} FROM stored""",
     "schema_evolution": f"""WITH {TICKETS} SELECT department, count(*) AS n,
       count(employee_name) AS n_named FROM (SELECT NULL AS department, NULL AS employee_name

@@ -116,7 +116,7 @@ def test_csv_with_quotes_and_breaks(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, 'a "quoted", text\nwith break'), (2, None)], "id long, text string")
     tables.write_csv(df, str(tmp_path / "csv"))
-    assert rows_of(tables.read_csv(spark, str(tmp_path / "csv"), df.schema)) == rows_of(df)
+    assert rows_of(tables.read_csv(spark, str(tmp_path / "csv"), df.schema, True)) == rows_of(df)
 
 
 def test_defaults_and_new_columns(spark, tmp_path):

@@ -35,7 +35,7 @@ def test_keep_first_and_running_number(spark):
     rows = [(o, "c", f"s{o % 7}", str(o)) for o in range(100, 0, -3)]
     df = spark.createDataFrame(rows, "ord long, category string, subcategory string, p string")
     first = profile.keep_first(df, ["category", "subcategory"], "ord")
-    numbered = running_number(first, "ord", "id", width=4).orderBy("id").collect()
+    numbered = running_number(first, "ord", "id").orderBy("id").collect()
     assert [r["id"] for r in numbered] == list(range(1, 8))
     assert [r["ord"] for r in numbered] == sorted(r["ord"] for r in numbered)
     assert {r["ord"] for r in numbered} == {

@@ -71,9 +71,10 @@ def feedback_targets(feedback: DataFrame, metrics: DataFrame) -> DataFrame:
     asks = feedback.withColumnRenamed("feedback_ts", "ts")
     values = metrics.select("ticket_id", F.col("created_at").alias("ts"),
                             F.col("metric_id").alias("value"))
-    own = latest_before(
-        asks.where(F.col("ticket_id").isNotNull()).select("ticket_id", "ts", "feedback_id"),
-        values, ["ticket_id"], "feedback_id").withColumnRenamed("latest", "_own")
+    named = asks.where(F.col("ticket_id").isNotNull()).select("ticket_id", "ts", "feedback_id")
+    asked = values.join(named.select("ticket_id").distinct(), "ticket_id", "left_semi")
+    own = latest_before(named, asked, ["ticket_id"], "feedback_id").withColumnRenamed(
+        "latest", "_own")
     found = materialise(feedback.join(own, "feedback_id", "left"), "feedback")
     lost = found.where(F.col("_own").isNull()).select(
         F.col("feedback_ts").alias("ts"), "feedback_id")
@@ -83,18 +84,32 @@ def feedback_targets(feedback: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def last_ratings(targets: DataFrame) -> DataFrame:
-    """(metric_id, new_rating): the last rating per metric; a blank one overwrites too."""
-    latest = F.max_by(F.struct("rating"), F.struct("feedback_ts", "feedback_id"))
+    """(metric_id, new_rating, new_mark): the last rating per metric; a blank one overwrites too.
+
+    The mark says which feedback gave it: its time, then its id.
+    """
+    mark = F.struct("feedback_ts", "feedback_id")
     return targets.where(F.col("metric_id").isNotNull()).groupBy("metric_id").agg(
-        latest.alias("_last")).select("metric_id", F.col("_last.rating").alias("new_rating"))
+        F.max_by(F.struct("rating"), mark).alias("_last"), F.max(mark).alias("new_mark")).select(
+        "metric_id", F.col("_last.rating").alias("new_rating"), "new_mark")
 
 
 def rate_metrics(metrics: DataFrame, targets: DataFrame) -> DataFrame:
-    """Metrics with the customer ratings of the feedback written over them."""
-    changes = last_ratings(targets).withColumn("_changed", F.lit(True))
+    """Metrics with the customer ratings of newer feedback written over them.
+
+    rating_mark, added where it is missing, keeps the feedback that gave the rating.
+    """
+    changes = last_ratings(targets)
+    if "rating_mark" not in metrics.columns:
+        metrics = metrics.withColumn(
+            "rating_mark", F.lit(None).cast(changes.schema["new_mark"].dataType))
+    newer = F.col("new_mark").isNotNull() & (
+        F.col("rating_mark").isNull() | (F.col("new_mark") > F.col("rating_mark")))
     return metrics.join(changes, "metric_id", "left").withColumn(
-        "customer_rating", F.when(F.col("_changed"), F.col("new_rating")).otherwise(
-            F.col("customer_rating"))).drop("new_rating", "_changed")
+        "_newer", newer).withColumn("customer_rating", F.when(
+            F.col("_newer"), F.col("new_rating")).otherwise(F.col("customer_rating"))).withColumn(
+        "rating_mark", F.when(F.col("_newer"), F.col("new_mark")).otherwise(
+            F.col("rating_mark"))).drop("new_rating", "new_mark", "_newer")
 
 
 def resolved_tickets(metrics: DataFrame, targets: DataFrame) -> DataFrame:

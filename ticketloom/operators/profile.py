@@ -65,16 +65,20 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
         F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 
 
+#: Rows in which a column may show that it has too many values.
+PROOF_ROWS = 1000
+
+
 def low_cardinality_values(df: DataFrame, most: int = 20) -> DataFrame:
     """(column_name, value, n) of each column with at most `most` distinct values.
 
-    A sketch of every column, taken in one pass without a shuffle, leaves out
-    columns that have far too many values.  It is nearly exact for counts this
-    small, and the columns left are counted exactly, all in one more pass.
+    A column that has more than `most` values in any part of the table is
+    proven to have too many, so some rows serve to leave such columns out.  All
+    others are counted exactly over all rows, in one pass.
     """
-    sketched = distinct_counts(df, approximate=True)
-    few = [row["column_name"] for row in sketched.where(
-        F.col("n_distinct") <= 3 * most + 10).collect()]  # at most one row per column
+    seen = distinct_counts(df.limit(PROOF_ROWS))
+    few = [row["column_name"] for row in seen.where(
+        F.col("n_distinct") <= most).collect()]  # at most one row per column
     if not few:
         return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
     pairs = F.array(*[F.struct(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.session import materialise
+
 HOT_SHARE = 0.001
 SPREAD = 32
 
@@ -66,18 +68,20 @@ def join_by_text(facts: DataFrame, side: DataFrame, text: str,
         ["_digest", text], "_digest", salt_by, how).drop("_digest")
 
 
-def running_number(df: DataFrame, order: str, name: str, width: int = 1_000_000) -> DataFrame:
-    """1, 2, 3, ... by a unique whole-number column, without one global sort.
+def running_number(df: DataFrame, order: str, name: str) -> DataFrame:
+    """1, 2, 3, ... by a unique column, without one global sort.
 
-    Rows are numbered inside blocks of the order column; each block holds at
-    most `width` rows because the column is unique.  The offset of a block is
-    a running sum over the block counts only.
+    Rows are dealt by ranges of the column, sorted inside their partition and
+    written with their place in it.  The offset of a partition is a running
+    sum over one count per partition, however sparse the column's values are.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(order) / width))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.groupBy("_block").agg(F.count("*").alias("_rows")).select(
-        "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(order))
-    return blocks.withColumn("_inside", inside).join(offsets, "_block").withColumn(
-        name, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop(
-        "_block", "_inside", "_offset")
+    placed = materialise(df.repartitionByRange(order).sortWithinPartitions(order).withColumn(
+        "_place", F.monotonically_increasing_id()), "numbered")
+    # The upper bits of these numbers are the partition, the lower ones the place in it.
+    part = F.shiftright("_place", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part).agg(F.count("*").alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(
+        name, (F.col("_offset") + inside).cast("bigint")).drop("_place", "_part", "_offset")

@@ -153,9 +153,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("ticket_id"), F.col("text").alias("description"))
 
 
-def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What users say in conversations, as tickets."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+def spoken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said in conversations, all turns, as tickets."""
+    turns = table(spark, sf_dir, "conversations")
     return turns.select((F.col("conv_id") * 10000 + F.col("turn")).alias("ticket_id"),
                         F.col("text").alias("description"))
 

@@ -106,18 +106,16 @@ def clean_documents(spark, sf_dir):
 
 
 def audit_records(spark, sf_dir):
-    """Accepted and rejected tickets together; some turns are blanked first."""
-    turns = bridge.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.when(F.col("turn") == 1, F.lit(" \t")).when(
-            F.col("turn") == 3, F.lit(None)).otherwise(F.col("text")).alias("description"))
+    """Accepted and rejected tickets together: every turn, and a blank and an empty copy of it."""
+    turns = bridge.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(
+        F.array(F.col("text"), F.lit(" \t"), F.lit(None).cast("string"))).alias("description"))
     return clean.audit(*clean.split_required(turns))
 
 
 def lowered_orders(spark, sf_dir):
-    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
     return clean.lower_description(
-        bridge.table(spark, sf_dir, "orders").withColumn("status", status), "status").select(
-        "o_orderkey", "status")
+        bridge.table(spark, sf_dir, "orders"), "o_orderpriority").select(
+        "o_orderkey", "o_orderpriority")
 
 
 def table_shape(spark, sf_dir):
@@ -201,7 +199,7 @@ def retrieve_topk(spark, sf_dir):
 
 def agent_best_article(spark, sf_dir):
     index = fit_index(bridge.document_articles(spark, sf_dir))
-    best = best_article(bridge.user_turns(spark, sf_dir), index, "ticket_id", "description")
+    best = best_article(bridge.spoken_turns(spark, sf_dir), index, "ticket_id", "description")
     return best.select(
         "ticket_id", "id", F.round("similarity", SCORE_DIGITS).alias("similarity"))
 
@@ -472,11 +470,19 @@ def stream_triage(spark, sf_dir):
 
 
 def stream_feedback(spark, sf_dir):
-    """Feedback stream applied to stored tables, rewriting only affected days."""
+    """Feedback stream applied to stored tables, rewriting only affected days.
+
+    The feedback comes in three files, one per batch, in no order of time.
+    """
     tickets_path, metrics_path = new_folder(spark, "tickets"), new_folder(spark, "metrics")
     tables.append_rows(bridge.tickets(spark, sf_dir), tickets_path)
-    tables.append_rows(bridge.metrics(spark, sf_dir), metrics_path)
-    given = bridge.feedback_of(event_stream(spark, sf_dir))
+    tables.append_rows(bridge.metrics(spark, sf_dir).withColumn(
+        "rating_mark", F.lit(None).cast("struct<feedback_ts: timestamp_ntz, feedback_id: bigint>")),
+        metrics_path)
+    events = bridge.table(spark, sf_dir, "events")
+    parts = new_folder(spark, "events")
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(parts)
+    given = bridge.feedback_of(runs.file_stream(spark, parts, events.schema, 1))
     runs.run_available(given, upserts.feedback_batches(spark, tickets_path, metrics_path))
     return spark.read.parquet(tickets_path).select("ticket_id", "status").join(
         spark.read.parquet(metrics_path).select("ticket_id", "metric_id", "customer_rating"),
@@ -490,7 +496,7 @@ def csv_round_trip(spark, sf_dir):
     path = new_folder(spark, "tickets-csv")
     documents = bridge.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     tables.write_csv(documents, path)
-    return tables.read_csv(spark, path, documents.schema)
+    return tables.read_csv(spark, path, documents.schema, multi_line=True)
 
 
 def article_round_trip(spark, sf_dir):
@@ -500,20 +506,27 @@ def article_round_trip(spark, sf_dir):
 
 
 def table_append(spark, sf_dir):
-    """Two appends to a day-partitioned table, then a full scan per day."""
+    """Three appends to a day-partitioned table, one all refused, then a full scan per day."""
     path = new_folder(spark, "appended")
     given = leveled_tickets(spark, sf_dir)
+    day = F.date_format("created_at", "yyyy-MM-dd").alias("day")
     tables.append_tickets(given, path)
     tables.append_tickets(given.drop("department", "employee_name", "status"), path)
+    refused = tables.append_tickets(
+        given.withColumn("description", F.lit(None).cast("string")), path).groupBy(day).agg(
+        F.count("*").alias("n_refused"))
     stored = tables.read_table(spark, path, schemas.TICKETS)
-    return stored.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "status",
-                          "department").agg(
-        F.count("*").alias("n"), F.count_distinct("ticket_id").alias("n_tickets"))
+    return stored.groupBy(day, "status", "department").agg(
+        F.count("*").alias("n"), F.count_distinct("ticket_id").alias("n_tickets")).join(
+        refused, "day", "left")
 
 
 def metric_append(spark, sf_dir):
     path = new_folder(spark, "appended-metrics")
-    tables.append_metrics(bridge.metrics(spark, sf_dir).drop("kb_found"), path)
+    unreadable = F.when(F.col("metric_id") % 11 == 0, "abc").otherwise(
+        F.col("ai_response_time").cast("string"))
+    tables.append_metrics(bridge.metrics(spark, sf_dir).drop("kb_found").withColumn(
+        "ai_response_time", unreadable), path)
     stored = tables.read_table(spark, path, schemas.METRICS)
     return metrics.metric_summary(stored, digits=4)
 
