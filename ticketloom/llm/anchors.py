@@ -7,9 +7,11 @@ anchors, wherever they stand, and comparing places with equal anchor grams misse
 repeated window. Neighbouring windows share anchors: about 2 of (window - gram + 2)
 places are anchors. The windows of an anchor cover its region, one run of symbols.
 
-Anchors meet by the hash of their gram in one shuffle, sorted, and stream through a task, so
-the memory of a task does not grow with a gram that very many texts have. Regions that
-are equal as a whole (equal classes) are settled there; what is left for exact
+Regions that are equal as a whole are a class. Before any shuffle, each slice of texts settles
+its own classes: all but their first regions repeat something earlier, whatever other slices
+hold, so a passage that very many texts share sends one anchor per slice. The settled ones
+are dealt by their row, the others meet by the hash of their gram, sorted, and stream
+through a task, so the memory of a task does not grow with a gram. What is left for exact
 comparison are the first regions of grams that stand in different regions.
 """
 
@@ -112,23 +114,53 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, first + (place >> FIELD & MOST), first + (place & MOST)
 
 
+#: What `batch` returns; salt is 0 for anchors that still have to meet others.
+SCHEMA = "gram long, class long, row long, place long, salt long"
+
+
+def batch(grams: np.ndarray, classes: np.ndarray, row: np.ndarray, place: np.ndarray,
+          other_rows_only: bool) -> pa.RecordBatch:
+    """The anchors of one slice, those settled within it marked by a salt."""
+    order = np.lexsort((place, row, classes))
+    own, rows = classes[order], row[order]
+    head = np.diff(own, prepend=~own[:1]) != 0
+    again = ~head
+    if other_rows_only:
+        again = rows > rows[np.flatnonzero(head)][np.cumsum(head) - 1]
+    salt = np.zeros(len(own), np.uint64)
+    salt[order[again]] = mixed(rows[again].astype(np.uint64)) | np.uint64(1)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(grams.view(np.int64)), pa.array(classes.view(np.int64)), pa.array(row),
+         pa.array(place), pa.array(salt.view(np.int64))],
+        ["gram", "class", "row", "place", "salt"])
+
+
 def marks(anchors: DataFrame, other_rows_only: bool) -> DataFrame:
-    """(row, gram, place, later) for what matters of anchors (gram, class, row, place).
+    """(row, gram, place, later) for what matters of anchors (SCHEMA).
 
     later: an equal region stands earlier (in an earlier row, if other_rows_only), so all
     of this one's windows do. Not later: the first of a class (or those in the class's first
     row) of a gram that has several classes. The table is written.
     """
     names = ["gram", "class", "row", "place"]
-    placed = anchors.repartition("gram").sortWithinPartitions(*names)
+
+    def out(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in columns], ["row", "gram", "place", "later"])
+
+    placed = anchors.repartition("gram", "salt").sortWithinPartitions(*names)
 
     def step(batches):
         before = None  # gram, class and first row of the class of the row before
         held = 0       # classes of that gram so far
         for batch in batches:
-            if not batch.num_rows:
-                continue
             gram, class_, row, place = (batch.column(name).to_numpy() for name in names)
+            known = batch.column("salt").to_numpy() != 0
+            if known.any():
+                yield out(row[known], gram[known], place[known], np.ones(known.sum(), bool))
+                gram, class_, row, place = (x[~known] for x in (gram, class_, row, place))
+            if not len(gram):
+                continue
             new_gram = np.diff(gram, prepend=gram[0]) != 0
             new_class = new_gram | (np.diff(class_, prepend=class_[0]) != 0)
             new_gram[0] = before is None or gram[0] != before[0]
@@ -151,9 +183,7 @@ def marks(anchors: DataFrame, other_rows_only: bool) -> DataFrame:
             several[group == group[-1]] = True
             use = later | several
             before = (gram[-1], class_[-1], own[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[use]) for x in (row, gram, place, later)],
-                ["row", "gram", "place", "later"])
+            yield out(row[use], gram[use], place[use], later[use])
 
     return materialise(map_arrow(
         placed, step, "row long, gram long, place long, later boolean"), "marks")

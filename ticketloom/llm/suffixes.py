@@ -49,13 +49,10 @@ def byte_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
         of = np.searchsorted(ends, first, "right")
         begin = np.concatenate([[0], ends])[of]
         place = anchors.packed(first - begin, anchor - begin, last - begin)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(grams.view(np.int64)), pa.array(class_.view(np.int64)),
-             pa.array(batch.column("row").to_numpy()[of]), pa.array(place)],
-            ["gram", "class", "row", "place"])
+        return anchors.batch(grams, class_, batch.column("row").to_numpy()[of], place,
+                             other_rows_only=False)
 
-    return map_batches(docs.select("row", "text"), step,
-                       "gram long, class long, row long, place long")
+    return map_batches(docs.select("row", "text"), step, anchors.SCHEMA)
 
 
 def contexts(asked: DataFrame, window: int, gram: int) -> DataFrame:
