@@ -148,8 +148,11 @@ def contaminated_report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -
 
 def clean_rows(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window."""
+    """The rows of docs, with all their columns, that hold no window.
+
+    The merge hint keeps one plan at every size.
+    """
     hit = find_items(docs, items, size, id_col, text_col).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest")).distinct()
+        F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest")).distinct().hint("merge")
     return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(
         F.col(text_col).cast("string")) == F.col("_hit_digest")), "left_anti")
