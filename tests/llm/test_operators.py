@@ -427,3 +427,15 @@ def test_contexts_find_unseen_identifiers(spark):
                                    "doc_id long, text string")
     got = {r.doc_id: r.spans for r in personal_data.report(copies).where("doc_id >= 100").collect()}
     assert got == {100: "", 101: ""}
+
+
+def test_contexts_are_alike_for_entities_and_tokens(spark):
+    link = "https://x.org/" + "long/" * 30
+    rows = [(i, f"see line{i} phone: +1 (555) 555-{1000 + i} bye") for i in range(9)]
+    rows += [(50 + i, f"{link}page{i} mail: ann{chr(97 + i)}@x.org bye") for i in range(9)]
+    rows += [(100, "see line99 phone: 555-9999 yes"), (101, f"{link}page99 mail: ann7(at)x yes"),
+             (102, "a bob@x.org phone: 555-9998 yes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data.report(docs).where("doc_id >= 100").collect()}
+    at = len(f"{link}page99 mail: ")
+    assert got == {100: "phone:18:26", 101: f"email:{at}:{at + 4}", 102: "email:2:11,phone:19:27"}

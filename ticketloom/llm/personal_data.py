@@ -3,7 +3,8 @@
 Four patterns find the base entities (email, ip, card, phone) of every text. They seed a
 bootstrapped extraction:
 
-  the two words before an entity are a lexical pattern of its kind;
+  the two words before an entity are a lexical pattern of its kind, # for each word that holds
+  a digit or @; they are built alike for entities and for other instances;
   every token with a digit in it is an instance, known or not yet known;
   patterns and instances form a graph, an edge for each pair that occurs;
   in each of ROUNDS rounds a pattern scores the mean of its instances' scores for a kind
@@ -43,7 +44,8 @@ PATTERNS = (
 TOKEN = r"((?<![\p{L}0-9@._%+-])[\p{L}@._%+-]*+[0-9][\p{L}0-9@._%+-]*+)"
 TOKEN_KIND = len(KINDS)
 MARK, NO_MARK = "\x01", "\x02"
-CONTEXT = 80
+#: A word of a context ends before what follows blanks, and before letters that follow punctuation.
+CUT = r"(?<=\s)(?=\S)|(?<=[^\s\p{L}0-9@._%+-])(?=[\p{L}0-9@._%+-])"
 MIN_TOKEN = 4
 ROUNDS, MIN_SCORE, MIN_SUPPORT = 3, 0.8, 5.0
 KEY = ["doc_id", "digest"]
@@ -82,6 +84,15 @@ def valid(kind: Column, value: Column) -> Column:
             .otherwise(F.length(value) >= MIN_TOKEN))
 
 
+def context_word(word: Column) -> Column:
+    """As it stands in patterns: in lower case, # for all that hold a digit or @."""
+    return F.when(word.rlike("[0-9@]"), "#").otherwise(F.lower(F.regexp_replace(word, r"\s+$", "")))
+
+
+def last_words(words: Column) -> Column:
+    return F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words)
+
+
 def intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, kind, start, end, value, pattern) of entities and of tokens.
 
@@ -100,22 +111,23 @@ def intervals(docs: DataFrame) -> DataFrame:
     is_match = F.col("at") % 2 == 1
     short = cut.select(
         *KEY, "kind", "at", F.length("part").alias("size"), F.when(is_match, F.col("part")).alias(
-            "value"), F.when(~is_match, F.substr("part", F.lit(-CONTEXT), F.lit(CONTEXT))).alias(
+            "value"), F.when(~is_match, F.concat_ws("", last_words(F.split("part", CUT)))).alias(
             "tail")).dropDuplicates([*KEY, "kind", "at"])
     order = Window.partitionBy(*KEY, "kind").orderBy("at")
     before = F.coalesce(F.sum("size").over(
         order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A match holds a word at least, so what stands before it gives the rest.
+    near = F.concat_ws("", F.lag("tail", 3).over(order), F.lag("value", 2).over(order),
+                       F.lag("tail").over(order))
     placed = short.select(
-        *KEY, "kind", "at", "value", before.alias("start"), F.lag("tail").over(order).alias("tail")
-    ).where("at % 2 = 1")
+        *KEY, "kind", "at", "value", before.alias("start"), near.alias("near")).where("at % 2 = 1")
     value = F.when(F.col("kind") == TOKEN_KIND, F.regexp_replace("value", r"[@._%+-]+$", "")
                    ).otherwise(F.col("value"))
-    # What stands before the part: the text's start, or another match.
-    context = F.concat(F.when(F.col("at") == 1, "^ ^ ").otherwise("# "), F.coalesce(
-        "tail", F.lit("")))
-    last = r"(\S+)\s+(\S+)\s*$"
-    words = F.lower(F.concat_ws(" ", F.regexp_extract(context, last, 1),
-                                F.regexp_extract(context, last, 2)))
+    # In front of these parts: the text's start, or another match.
+    front = F.when(F.col("at") <= 3, F.array(F.lit("^"), F.lit("^"))).otherwise(
+        F.array(F.lit("#"), F.lit("#")))
+    words = F.concat_ws(" ", last_words(F.concat(front, F.transform(F.filter(
+        F.split("near", CUT), lambda word: word.rlike(r"\S")), context_word))))
     return placed.withColumn("value", value).where(valid(F.col("kind"), F.col("value"))).select(
         *KEY, "kind", "start", (F.col("start") + F.length("value")).alias("end"),
         F.lower("value").alias("value"), words.alias("pattern"))
