@@ -439,3 +439,25 @@ def test_contexts_are_alike_for_entities_and_tokens(spark):
     got = {r.doc_id: r.spans for r in personal_data.report(docs).where("doc_id >= 100").collect()}
     at = len(f"{link}page99 mail: ")
     assert got == {100: "phone:18:26", 101: f"email:{at}:{at + 4}", 102: "email:2:11,phone:19:27"}
+
+
+def test_contexts_find_identifiers_of_other_shapes(spark):
+    rows = [(i, f"hello there contact me: {chr(97 + i) * 3}@x.com ok. now call now "
+                f"+1 (555) 555-{1000 + i} bye") for i in range(24)]
+    rows += [(100, "  please contact me: alice(at)x.com, thanks"),
+             (101, "please contact me: alice@localhost."), (102, "so call now (555) 555-9999. 12 yes"),
+             (103, "so call now 555 123 4567, all of you"), (104, "contact me: soon, call now please"),
+             (105, "x\n\ncontact me: al-ice(at)x (call now +1 555 123 4567)"), (106, "contact me:")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data.report(docs).where("doc_id >= 100").collect()}
+    assert got == {100: "email:21:35", 101: "email:19:34", 102: "phone:12:26", 103: "phone:12:24",
+                   104: "", 105: "email:15:26,phone:37:52", 106: ""}
+    hidden = {r.doc_id: r.text for r in personal_data.masked_rows(docs).collect()}
+    assert hidden[100] == "  please contact me: <EMAIL>, thanks"
+    assert hidden[103] == "so call now <PHONE>, all of you" and hidden[104] == rows[-3][1]
+    # Behind a pattern that plain words follow as often, nothing is found.
+    rows += [(200 + i, f"contact me: {word}") for i, word in enumerate(
+        "today later tonight tomorrow never always monday friday".split())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in personal_data.report(docs).where("doc_id >= 100").collect()}
+    assert got[100] == got[101] == "" and got[102] == "phone:12:26"

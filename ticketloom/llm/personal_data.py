@@ -5,19 +5,21 @@ bootstrapped extraction:
 
   the two words before an entity are a lexical pattern of its kind, # for each word that holds
   a digit or @; they are built alike for entities and for other instances;
-  every token with a digit in it is an instance, known or not yet known;
+  every token with a digit in it is an instance, known or not yet known, and behind patterns
+  that count also every run up to the next blank where no token starts, and joined digit groups
+  for kinds whose entities hold blanks;
   patterns and instances form a graph, an edge for each pair that occurs;
   in each of ROUNDS rounds a pattern scores the mean of its instances' scores for a kind
   (known entities have 1), and counts if it scores at least MIN_SCORE and its instances'
   scores add up to MIN_SUPPORT; an instance scores 1 - product(1 - score) over its patterns.
 
-Tokens that stand behind a pattern that counts in the end are found, too, unless they overlap
-a base entity. Copies of a text add no weight: only distinct instances count.
+Instances that stand behind a pattern that counts in the end are found, too, unless they overlap
+a base entity or are plain words; those count against a pattern only. Copies of a text add no weight: only distinct instances count.
 
 All steps are built-in functions. Matches are marked in the text with a character that
-no text can hold afterwards, and splitting there gives their places. Only texts with a digit
-or @ go further, and only short parts of them are shuffled, by text; a text's parts meet
-in one task.
+no text can hold afterwards, and splitting there gives their places. Only short parts of texts with a digit or @ are
+shuffled, by text, where a text's parts meet in one task; of all texts only what stands behind
+patterns that count.
 
 Edge cases: null and empty texts hold nothing; offsets are code points; rows are told
 apart by id and a hash of their text, so repeated rows get equal results, and null ids
@@ -42,7 +44,15 @@ PATTERNS = (
 )
 #: A token: a run of these characters with a digit in it.
 TOKEN = r"((?<![\p{L}0-9@._%+-])[\p{L}@._%+-]*+[0-9][\p{L}0-9@._%+-]*+)"
-TOKEN_KIND = len(KINDS)
+#: Instances that are no entities: such tokens, runs up to the next blank, joined digit groups.
+TOKEN_KIND, RUN_KIND, JOINED_KIND = range(len(KINDS), len(KINDS) + 3)
+#: Joined digit groups, as in a phone number; a sentence's end parts them.
+JOINED = r"^([(+]*+[0-9][0-9\x20().-]*+)"
+MIN_JOINED = 7
+END = r"(?<![\p{P}\p{S}])[\p{P}\p{S}]++$"
+#: Bits of the filter that a text's words pass before anything is shuffled.
+FILTER_BITS = 1 << 20
+BIT = f"pmod(xxhash64(pattern), {FILTER_BITS}L)"
 MARK, NO_MARK = "\x01", "\x02"
 #: A word of a context ends before what follows blanks, and before letters that follow punctuation.
 CUT = r"(?<=\s)(?=\S)|(?<=[^\s\p{L}0-9@._%+-])(?=[\p{L}0-9@._%+-])"
@@ -86,7 +96,7 @@ def valid(kind: Column, value: Column) -> Column:
 
 def context_word(word: Column) -> Column:
     """As it stands in patterns: in lower case, # for all that hold a digit or @."""
-    return F.when(word.rlike("[0-9@]"), "#").otherwise(F.lower(F.regexp_replace(word, r"\s+$", "")))
+    return F.when(word.rlike("[0-9@]"), "#").otherwise(F.lower(F.rtrim(word, F.lit(" \t\n\x0b\f\r"))))
 
 
 def last_words(words: Column) -> Column:
@@ -134,7 +144,7 @@ def intervals(docs: DataFrame) -> DataFrame:
 
 
 def free_tokens(found: DataFrame) -> DataFrame:
-    """Entities, and those tokens that overlap none."""
+    """Entities, and those other instances that overlap none."""
     order = Window.partitionBy(*KEY).orderBy("start", "end", "kind")
     entity = F.col("kind") < TOKEN_KIND
     reach = F.max(F.when(entity, F.col("end"))).over(
@@ -146,9 +156,77 @@ def free_tokens(found: DataFrame) -> DataFrame:
                   & (F.coalesce("ahead", F.col("end")) >= F.col("end")))).drop("reach", "ahead")
 
 
+def pattern_bits(patterns: DataFrame) -> DataFrame:
+    """One row: an array of FILTER_BITS bits, those of the hashes of the patterns set."""
+    spark = patterns.sparkSession
+    own = patterns.select(F.expr(f"cast({BIT} div 64 as int)").alias("at"),
+                          F.expr(f"shiftleft(1L, cast({BIT} % 64 as int))").alias("bits"))
+    blank = spark.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("at"),
+                                                  F.lit(0).cast("bigint").alias("bits"))
+    return own.union(blank).groupBy("at").agg(F.bit_or("bits").alias("bits")).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda s: s["bits"]).alias("bits"))
+
+
+def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """As `intervals`, the runs and joined digit groups that stand behind the patterns.
+
+    docs has (doc_id, text), patterns (pattern, joined): whether digit groups are joined. Every
+    word of every text is compared; only those that pass the filter leave their task.
+    """
+    text = F.replace(F.col("text"), F.lit(MARK), F.lit(NO_MARK))
+    cut = docs.where(F.col("text").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("digest"), text.alias("text"),
+        F.split(text, CUT).alias("words"))
+    first = F.get("words", F.lit(0)).rlike(r"^\s*$").cast("int")
+    words = F.transform("words", context_word)
+    front = F.array(F.lit("^"), F.lit("^"))
+    # Blanks at the text's start are a word of their own, which no pattern names.
+    second = F.when(F.size("words") > first, F.slice(words, first + 1, F.size("words")))
+    named = F.concat(front, second)
+    pairs = F.arrays_zip(named.alias("a"), F.slice(named, 2, F.size(named)).alias("b"))
+    each = cut.crossJoin(F.broadcast(pattern_bits(patterns))).select(
+        "doc_id", "digest", "text", "words", "bits", first.alias("first"),
+        F.posexplode_outer(pairs).alias("at", "pair")).withColumn(
+        "pattern", F.concat_ws(" ", F.col("pair.a"), F.col("pair.b")))
+    passes = F.expr(f"(shiftright(get(bits, cast({BIT} div 64 as int)), cast({BIT} % 64 as int)) & 1) = 1")
+    place = F.col("at") + F.col("first")
+    start = F.length(F.array_join(F.slice("words", 1, place), ""))
+    hits = each.where(passes & (place < F.size("words"))).select(
+        *KEY, "pattern", start.alias("start"), "text").withColumn(
+        "rest", F.substr("text", F.col("start") + 1, F.length("text")))
+    groups = F.regexp_replace(F.get(F.split(F.regexp_extract("rest", JOINED, 1), r"\. "), F.lit(0)),
+                              "(?<=[0-9])[^0-9]++$", "")
+    run = F.regexp_replace(F.regexp_extract("rest", r"^(\S++)", 1), END, "")
+    starts = F.col("rest").rlike(r"^[\p{L}0-9@._%+-]")
+    short = hits.select(
+        *KEY, "pattern", "start", groups.alias("groups"), F.when(starts, run).alias("run"),
+        (~F.col("text").rlike("[0-9@]")).alias("plain")).join(patterns, "pattern")
+    joins = F.col("joined") & F.col("groups").contains(" ") & (
+        F.length(digits_of(F.col("groups"))) >= MIN_JOINED)
+    value = F.when(joins, F.col("groups")).otherwise(F.col("run"))
+    return short.select(
+        *KEY, F.when(joins, JOINED_KIND).otherwise(RUN_KIND).alias("kind"), "start",
+        (F.col("start") + F.length(value)).cast("bigint").alias("end"), F.lower(value).alias("value"),
+        "pattern", "plain").where(F.length("value") >= MIN_TOKEN)
+
+
+def one_a_place(found: DataFrame) -> DataFrame:
+    """Entities, and of the other instances that start at a place joined groups before a token
+    before a run."""
+    rank = F.element_at(F.array(*[F.lit(r) for r in (2, 1, 3)]), F.col("kind") - TOKEN_KIND + 1)
+    other = found.where(F.col("kind") >= TOKEN_KIND).withColumn("rank", rank)
+    columns = [c for c in found.columns if c not in (*KEY, "start")]
+    best = other.groupBy(*KEY, "start").agg(F.max(F.struct("rank", *columns)).alias("best"))
+    return found.where(F.col("kind") < TOKEN_KIND).unionByName(best.select(
+        *KEY, "start", *[F.col(f"best.{c}").alias(c) for c in columns]))
+
+
 def score_patterns(found: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE,
                    min_support: float = MIN_SUPPORT) -> DataFrame:
-    """(pattern, kind, score) of the patterns that count after the last round."""
+    """(pattern, kind, score) of the patterns that count after the last round.
+
+    A plain word speaks against the patterns before it, but is never an instance of a kind.
+    """
     edges = materialise(found.where(F.col("pattern").rlike(r"\p{L}")).select(
         "pattern", "value").distinct(), "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -162,38 +240,70 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS, min_score: float = MI
             "pattern", "kind", F.round(F.col("sum") / F.col("n"), 6).alias("score")).where(
             F.col("score") >= min_score), "patterns")
         unlikely = F.sum(F.log(1 - F.least("score", F.lit(0.999))))
-        reached = edges.join(patterns, "pattern").groupBy("value", "kind").agg(
-            F.round(1 - F.exp(unlikely), 6).alias("score"))
+        reached = edges.where(~plain_word(F.col("value"))).join(patterns, "pattern").groupBy(
+            "value", "kind").agg(F.round(1 - F.exp(unlikely), 6).alias("score"))
         scores = materialise(seeds.union(reached).groupBy("value", "kind").agg(
             F.max("score").alias("score")), "scores")
     return patterns
 
 
+def plain_word(value: Column) -> Column:
+    return value.rlike(r"^[\p{L}\p{M}'\u2019]+$")
+
+
+def instances(docs: DataFrame) -> DataFrame:
+    """All intervals: entities, tokens and what else stands behind patterns that count.
+
+    The texts are searched again as long as more patterns count, ROUNDS times at most, so that
+    all instances behind a pattern enter its score. Patterns without any entity or token behind
+    them are not searched for.
+    """
+    first = materialise(free_tokens(intervals(docs)).withColumn("plain", F.lit(False)), "intervals")
+    joins = first.where(F.col("kind") < TOKEN_KIND).groupBy("kind").agg(
+        F.max(F.col("value").contains(" ")).alias("joined"))
+    found, searched = first, None
+    for _ in range(ROUNDS):
+        new = score_patterns(found).join(joins, "kind").groupBy("pattern").agg(
+            F.max("joined").alias("joined"))
+        new = materialise(new if searched is None else new.join(
+            searched.select("pattern"), "pattern", "left_anti"), "new-patterns")
+        if new.isEmpty():
+            break
+        searched = new if searched is None else searched.union(new)
+        found = materialise(one_a_place(free_tokens(
+            found.unionByName(behind(docs, new)))), "intervals")
+    return found
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, spans): the spans (kind, start, end, base) of texts that have any.
+    """(doc_id, digest, spans, plain): the spans (kind, start, end, base) of texts that have any.
 
-    kind is a number in KINDS; spans are sorted by it, then by start.
+    kind is a number in KINDS; spans are sorted by it, then by start. plain: the text holds no
+    digit and no @.
     """
     pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialise(free_tokens(intervals(pair)), "intervals")
+    found = instances(pair)
     patterns = score_patterns(found).groupBy("pattern").agg(F.max(F.struct(
         "score", (-F.col("kind")).alias("kind"))).alias("best")).select(
         "pattern", (-F.col("best.kind")).alias("kind"))
-    more = found.where(F.col("kind") == TOKEN_KIND).drop("kind").join(patterns, "pattern").select(
-        *KEY, "kind", "start", "end", F.lit(False).alias("base"))
+    more = found.where((F.col("kind") >= TOKEN_KIND) & ~plain_word(F.col("value"))).drop(
+        "kind").join(patterns, "pattern").select(
+        *KEY, "kind", "start", "end", F.lit(False).alias("base"), "plain")
     base = found.where(F.col("kind") < TOKEN_KIND).select(
-        *KEY, "kind", "start", "end", F.lit(True).alias("base"))
+        *KEY, "kind", "start", "end", F.lit(True).alias("base"), "plain")
     return base.unionByName(more).groupBy(*KEY).agg(F.sort_array(F.collect_list(
-        F.struct("kind", "start", "end", "base"))).alias("spans"))
+        F.struct("kind", "start", "end", "base"))).alias("spans"), F.max("plain").alias("plain"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, digest: Column) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, digest: Column,
+               hint: str | None = "merge") -> DataFrame:
     """The rows of docs with a column _pii_spans; empty where nothing was found.
 
     The merge hint keeps one plan at every size.
     """
     right = spans.select(F.col("doc_id").alias("_pii_id"), F.col("digest").alias("_pii_digest"),
-                         F.col("spans").alias("_pii_spans")).hint("merge")
+                         F.col("spans").alias("_pii_spans"))
+    right = right.hint(hint) if hint else right
     same = F.col(id_col).eqNullSafe(F.col("_pii_id")) & (digest == F.col("_pii_digest"))
     return docs.join(right, same, "left").drop("_pii_id", "_pii_digest").withColumn(
         "_pii_spans", F.coalesce("_pii_spans", F.expr(
@@ -244,14 +354,17 @@ def masked(text: Column, spans: Column) -> Column:
 def masked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, personal data in the text masked.
 
-    Texts without a digit or @ hold none and are not shuffled.
+    Texts without a digit or @ hold no entities; few have spans, and so they are not shuffled as
+    long as those spans can be broadcast.
     """
     text = F.col(text_col).cast("string")
     may = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = with_spans(docs.where(may), find_spans(docs, id_col, text_col), id_col,
-                      F.xxhash64(text))
-    return rows.select(*[masked(text, F.col("_pii_spans")).alias(c) if c == text_col else column
-                         for c, column in zip(docs.columns, columns, strict=True)]).union(
-        docs.where(~may).select(*[text.alias(c) if c == text_col else column for c, column in zip(
-            docs.columns, columns, strict=True)]))
+    spans = materialise(find_spans(docs, id_col, text_col), "spans")
+    parts = [with_spans(docs.where(may), spans.where(~F.col("plain")), id_col, F.xxhash64(text)),
+             with_spans(docs.where(~may), materialise(spans.where("plain"), "plain-spans"), id_col,
+                        F.xxhash64(text), hint=None)]
+    first, second = [rows.select(*[
+        masked(text, F.col("_pii_spans")).alias(c) if c == text_col else column
+        for c, column in zip(docs.columns, columns, strict=True)]) for rows in parts]
+    return first.union(second)
