@@ -177,15 +177,14 @@ def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     cut = docs.where(F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("digest"), text.alias("text"),
         F.split(text, CUT).alias("words"))
-    first = F.get("words", F.lit(0)).rlike(r"^\s*$").cast("int")
-    words = F.transform("words", context_word)
-    front = F.array(F.lit("^"), F.lit("^"))
     # Blanks at the text's start are a word of their own, which no pattern names.
-    second = F.when(F.size("words") > first, F.slice(words, first + 1, F.size("words")))
-    named = F.concat(front, second)
-    pairs = F.arrays_zip(named.alias("a"), F.slice(named, 2, F.size(named)).alias("b"))
+    first = F.coalesce(F.get("words", F.lit(0)).rlike(r"^\s*$").cast("int"), F.lit(0))
+    cut = cut.withColumn("first", first).withColumn("named", F.concat(
+        F.array(F.lit("^"), F.lit("^")), F.transform(F.slice(
+            "words", F.col("first") + 1, F.size("words")), context_word)))
+    pairs = F.arrays_zip(F.col("named").alias("a"), F.slice("named", 2, F.size("named")).alias("b"))
     each = cut.crossJoin(F.broadcast(pattern_bits(patterns))).select(
-        "doc_id", "digest", "text", "words", "bits", first.alias("first"),
+        "doc_id", "digest", "text", "words", "bits", "first",
         F.posexplode_outer(pairs).alias("at", "pair")).withColumn(
         "pattern", F.concat_ws(" ", F.col("pair.a"), F.col("pair.b")))
     passes = F.expr(f"(shiftright(get(bits, cast({BIT} div 64 as int)), cast({BIT} % 64 as int)) & 1) = 1")
