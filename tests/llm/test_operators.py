@@ -196,6 +196,25 @@ def test_line_model_agrees_with_labels(spark, sf_dir):
     assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.97 * len(rows)
 
 
+def test_a_repeated_id_enters_the_sample_once(spark, monkeypatch):
+    seen = []
+    train = quality.train
+
+    def spy(lines, labels):
+        seen.append(len(lines))
+        return train(lines, labels)
+
+    monkeypatch.setattr(quality, "train", spy)
+    rows = [(1, f"Some sentence number {i}.\nAnother line.") for i in range(30)]
+    rows += [(2, "BUY NOW !!! $$$\nclick"), (3, "A quiet text.\nIt goes on.")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = quality.fit(docs.repartition(3), labels)
+    assert seen == [3, 3]
+    again = quality.fit(docs.orderBy(F.desc("text")), labels)
+    assert np.array_equal(one.weights, again.weights) and np.array_equal(one.moves, again.moves)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     model = quality.LineModel(rng.normal(size=(quality.N_FEATURES, 2)), rng.normal(size=(2, 2)))

@@ -178,7 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
             F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         sample = some if sample is None else sample.union(some)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("quality", "text")
+    # One row of each id, that of the least hash: a repeated id neither outweighs others nor
+    # reaches the driver more than once.
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min_by(
+        "text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("quality", "text")
 
     def step(batch):
         found = [document_lines(text)[0] for text in encoded(batch.column("text"))]
