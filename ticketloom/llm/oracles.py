@@ -104,3 +104,30 @@ SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
   coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {LOWER}),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS qtf FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, {LOWER}),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+m AS (SELECT doc_id, 25 + (75 * n * nn) // l AS m FROM lengths, total),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, total GROUP BY term, nn),
+scores AS (
+  SELECT item_id, doc_id,
+    CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN postings USING (term) JOIN m USING (doc_id)
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

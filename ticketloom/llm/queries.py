@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import (
     contamination,
+    lexical,
     oracles,
     packing,
     personal_data,
@@ -25,6 +26,7 @@ ORACLES = {
     "op7_url_filter": oracles.OP7,
     "op8_benchmark_decontamination": oracles.OP8,
     "op9_suffix_array_dedup": oracles.OP9,
+    "op11_lexical_search": oracles.OP11,
 }
 
 
@@ -116,3 +118,10 @@ def op9_suffix_array_dedup(spark, sf_dir):
 @query
 def op10_personal_data(spark, sf_dir):
     return personal_data.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    """The ten best documents of each benchmark item."""
+    return lexical.rank_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top_k=10)
