@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketloom.llm import (
+    alignment,
     contamination,
     lexical,
     oracles,
@@ -17,6 +18,7 @@ from ticketloom.llm import (
     token_files,
     urls,
     word_windows,
+    wrappers,
 )
 from ticketloom.llm.common import table
 
@@ -125,3 +127,15 @@ def op11_lexical_search(spark, sf_dir):
     """The ten best documents of each benchmark item."""
     return lexical.rank_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top_k=10)
+
+
+@query
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.alignments(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"),
+        tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op13_html_extraction(spark, sf_dir):
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
