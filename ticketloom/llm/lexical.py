@@ -3,7 +3,7 @@
 A document's normaliser m depends on its length alone, so documents of equal m form a stratum.
 Inside a stratum the postings of a term are grouped by tf: the impact of a posting depends on
 (m, tf) only and is computed once per such group. A stratum is stored in parts of about
-PART_DOCS documents, one row each, so equal lengths (a third of all rows may be copies) never
+PART_DOCS documents or PART_TERMS terms, one row each, so equal lengths (a third of all rows may be copies) never
 meet in one task.
 
 The greatest tf of a term in a stratum bounds what it can add to a score there. A query visits
@@ -43,12 +43,12 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Documents of one part of a stratum, about.
-PART_DOCS = 8192
+#: Documents, and terms with repeats, of one part of a stratum, about.
+PART_DOCS, PART_TERMS = 8192, 2_000_000
 #: Term rows of the queries that are searched for in one go, about; they go to all tasks.
 BLOCK_TERMS = 400_000
-#: A term that no text has; its rows hold the lengths of the documents.
-LENGTH = ""
+#: Terms that are sent to the tasks as a set, at most.
+MAX_WANTED = 200_000
 
 
 @dataclass
@@ -74,39 +74,46 @@ def impact(tf: Column, m: Column) -> Column:
                            F.lit(1000).cast("bigint") * tf + F.lit(8).cast("bigint") * m)
 
 
-def count_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(row, n, term, tf) of each document, and its length under the empty term."""
-    rows, sizes, terms, tfs = [], [], [], []
-    for row, text in zip(batch.column("row").to_pylist(), encoded(batch.column("text")),
-                         strict=True):
-        counts = Counter(TERM_BYTES.findall(text.translate(LOWERED)))
-        if counts:
-            n = counts.total()
-            terms.append(LENGTH.encode())
-            tfs.append(n)
-            terms.extend(counts.keys())
-            tfs.extend(counts.values())
-            rows.append((row, n, len(counts) + 1))
-    spread = np.array(rows, np.int64).reshape(-1, 3)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(spread[:, 0], spread[:, 2])),
-         pa.array(np.repeat(spread[:, 1], spread[:, 2])),
-         pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())],
-        ["row", "n", "term", "tf"])
+def count_terms(wanted: frozenset | None):
+    """A step from texts to (row, n, terms, tfs): all counted in n, the wanted ones listed."""
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, sizes, terms, tfs = [], [], [], []
+        for row, text in zip(batch.column("row").to_pylist(), encoded(batch.column("text")),
+                             strict=True):
+            counts = Counter(TERM_BYTES.findall(text.translate(LOWERED)))
+            if counts:
+                rows.append(row)
+                sizes.append(counts.total())
+                if wanted is not None:
+                    counts = {term: counts[term] for term in wanted.intersection(counts)}
+                terms.append(b" ".join(counts))
+                tfs.append(np.fromiter(counts.values(), "<i8", len(counts)).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.binary()),
+             pa.array(tfs, pa.binary())], ["row", "n", "terms", "tfs"])
+    return step
 
 
 def pack_part(held: list[pa.RecordBatch]) -> list:
-    """One row of `parts` from the sorted postings of a part of a stratum."""
+    """One row of `parts` from the documents of a part of a stratum, which ascend by row."""
     table = pa.Table.from_batches(held)
-    terms = table.column("term").combine_chunks().dictionary_encode()
-    numbers = terms.indices.to_numpy()  # in order of appearance, thus ascending
-    tfs = table.column("tf").to_numpy()
-    rows, places = np.unique(table.column("row").to_numpy(), return_inverse=True)
-    last = np.append((numbers[1:] != numbers[:-1]) | (tfs[1:] != tfs[:-1]), True)
+    words = [terms.split() for terms in table.column("terms").to_pylist()]
+    sizes = [len(one) for one in words]
+    coded = pa.array([term for one in words for term in one], pa.binary()).dictionary_encode()
+    tfs = np.frombuffer(b"".join(table.column("tfs").to_pylist()), "<i8")
+    names = coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names))
+    numbers, places = number[coded.indices.to_numpy()], np.repeat(np.arange(len(sizes)), sizes)
+    by_term = np.lexsort((places, tfs, numbers))
+    numbers, tfs, places = numbers[by_term], tfs[by_term], places[by_term]
+    last = np.append((numbers[1:] != numbers[:-1]) | (tfs[1:] != tfs[:-1]), True)[:len(tfs)]
     run_ends = np.flatnonzero(last) + 1
-    term_ends = np.searchsorted(numbers[run_ends - 1], np.arange(len(terms.dictionary)), "right")
+    term_ends = np.searchsorted(numbers[run_ends - 1], np.arange(len(names)), "right")
     return [table.column("m")[0].as_py(), table.column("part")[0].as_py(),
-            rows.astype("<i8").tobytes(), terms.dictionary.to_pylist(),
+            table.column("row").to_numpy().astype("<i8").tobytes(),
+            [names[i].decode() for i in order],
             term_ends.astype("<i4").tobytes(), tfs[run_ends - 1].astype("<i8").tobytes(),
             run_ends.astype("<i4").tobytes(), places.astype("<i4").tobytes()]
 
@@ -117,7 +124,7 @@ KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), *[pa.binary
 
 
 def pack_parts(batches):
-    """Sorted postings (m, part, term, tf, row) to rows of `parts`, one in memory at a time."""
+    """Documents sorted by (m, part, row) to rows of `parts`, one in memory at a time."""
     def out(held):
         return pa.RecordBatch.from_arrays(
             [pa.array([value], kind) for value, kind in zip(pack_part(held), KINDS, strict=True)],
@@ -140,38 +147,62 @@ def pack_parts(batches):
         yield out(held)
 
 
+def postings_of(part: dict) -> tuple:
+    """(run ends, tfs of runs, run ends of terms) of a row of `parts`."""
+    return (np.frombuffer(part["run_ends"], "<i4"), np.frombuffer(part["tfs"], "<i8"),
+            np.frombuffer(part["term_ends"], "<i4"))
+
+
+def part_bounds(batches):
+    """(m, term, max_tf, n_docs) of each part: a term's last run has its greatest tf."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            part = batch.slice(at, 1).to_pylist()[0]
+            run_ends, tfs, term_ends = postings_of(part)
+            last = term_ends - 1
+            n_docs = np.diff(run_ends[last], prepend=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(last), part["m"])), pa.array(part["terms"], pa.string()),
+                 pa.array(tfs[last]), pa.array(n_docs.astype(np.int64))],
+                ["m", "term", "max_tf", "n_docs"])
+
+
 def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> LexicalIndex:
     """Index all documents; with `terms` (term) only postings of these are kept.
 
-    Lengths, document counts and normalisers always come from all terms of all documents.
+    Lengths, document counts and normalisers always come from all terms of all documents. More
+    than MAX_WANTED terms are not sent to the tasks: the index then holds all terms.
     """
     spark = docs.sparkSession
     rows = numbered(docs, id_col, text_col)
-    postings = map_batches(rows.select("row", "text"), count_terms,
-                           "row long, n long, term string, tf long")
+    wanted = None
     if terms is not None:
-        wanted = terms.select("term").union(spark.createDataFrame([(LENGTH,)], "term string"))
-        postings = postings.join(materialise(wanted.distinct(), "wanted-terms"), "term")
-    postings = materialise(postings.select("row", "n", "term", "tf"), "postings")
-    lengths = postings.where(F.col("term") == LENGTH)
-    total = lengths.agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
+        asked = terms.select("term").distinct().limit(MAX_WANTED + 1).collect()
+        if len(asked) <= MAX_WANTED:
+            wanted = frozenset(row.term.encode() for row in asked)
+    counted = materialise(map_batches(rows.select("row", "text"), count_terms(wanted),
+                                      "row long, n long, terms binary, tfs binary"), "term-counts")
+    total = counted.agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
     n_docs, n_terms = F.lit(total.docs).cast("bigint"), F.lit(total.terms or 1).cast("bigint")
     m = F.lit(25).cast("bigint") + F.call_function(
         "div", F.lit(75).cast("bigint") * F.col("n") * n_docs, n_terms)
-    placed = postings.where(F.col("term") != LENGTH).withColumn("m", m)
-    weights = placed.groupBy("term").agg(F.count("*").alias("df")).select("term", F.floor(
+    sizes = counted.groupBy(m.alias("m")).agg(F.ceil(F.greatest(
+        F.count("*") / PART_DOCS, F.sum("n") / PART_TERMS)).alias("n_parts"))
+    order = ["m", "part", "row"]
+    placed = counted.withColumn("m", m).join(materialise(sizes, "strata-sizes"), "m").withColumn(
+        "part", F.pmod(F.xxhash64("row"), F.col("n_parts"))).select(*order, "terms", "tfs")
+    parts = materialise(map_arrow(
+        placed.repartition(shuffle_partitions(spark), "m", "part").sortWithinPartitions(*order),
+        pack_parts, PARTS), "strata")
+    bounds = materialise(map_arrow(
+        parts.select("m", "terms", "term_ends", "tfs", "run_ends"), part_bounds,
+        "m long, term string, max_tf long, n_docs long").groupBy("m", "term").agg(
+        F.max("max_tf").alias("max_tf"), F.sum("n_docs").alias("n_docs")), "strata-bounds")
+    weights = bounds.groupBy("term").agg(F.sum("n_docs").alias("df")).select("term", F.floor(
         F.lit(1000) * F.log((2 * n_docs + 2).cast("double") / (2 * F.col("df") + 1))).alias("w"))
-    sizes = lengths.groupBy(m.alias("m")).agg(F.ceil(F.count("*") / PART_DOCS).alias("n_parts"))
-    cut = placed.join(materialise(sizes, "strata-sizes"), "m").select(
-        "m", F.pmod(F.xxhash64("row"), F.col("n_parts")).alias("part"), "term", "tf", "row")
-    order = ["m", "part", "term", "tf", "row"]
-    packed = map_arrow(cut.repartition(shuffle_partitions(spark), "m", "part")
-                       .sortWithinPartitions(*order), pack_parts, PARTS)
-    bounds = placed.groupBy("m", "term").agg(
-        F.max("tf").alias("max_tf"), F.count("*").alias("n_docs"))
-    return LexicalIndex(materialise(packed, "strata"), materialise(bounds, "strata-bounds"),
-                        materialise(weights, "term-weights"), rows.select("row", "id"))
+    return LexicalIndex(parts, bounds, materialise(weights, "term-weights"),
+                        rows.select("row", "id"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -199,15 +230,15 @@ def score_parts(parts: DataFrame, visits: DataFrame, wanted: dict, top_k: int) -
     def step(batches):
         for batch in batches:
             out = []
-            for part in batch.to_pylist():
+            for at in range(batch.num_rows):
+                part = batch.slice(at, 1).to_pylist()[0]
+                run_ends, tfs, term_ends = postings_of(part)
                 rows = np.frombuffer(part["rows"], "<i8")
-                tfs = np.frombuffer(part["tfs"], "<i8")
-                run_ends = np.frombuffer(part["run_ends"], "<i4")
                 places = np.frombuffer(part["places"], "<i4")
                 # one impact per (term, tf), handed to its postings
                 impacts = np.repeat((1_000_000_000 * tfs) // (1000 * tfs + 8 * part["m"]),
                                     np.diff(run_ends, prepend=0))
-                ends = run_ends[np.frombuffer(part["term_ends"], "<i4") - 1].tolist()
+                ends = run_ends[term_ends - 1].tolist()
                 spans = dict(zip(part["terms"], zip([0, *ends[:-1]], ends, strict=True),
                                  strict=True))
                 for ask in part["asked"]:
