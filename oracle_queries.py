@@ -108,10 +108,17 @@ APPLIED = """, rated AS (SELECT metric_id, arg_max(struct_pack(r := rating),
   FROM tickets t JOIN metrics m USING (ticket_id) LEFT JOIN rated r USING (metric_id)"""
 DOCUMENT_KB = """kb AS (SELECT doc_id + 1 AS id, lang AS category, source AS subcategory,
   'Low' AS priority, split_part(text, chr(10), 1) AS title, text AS content FROM documents)"""
-SHORT_KB = ("kb(id, category, subcategory, priority, title, content) AS (VALUES "
+SHORT_KB = ("short(id, category, subcategory, priority, title, content) AS (VALUES "
             + ", ".join("(" + ", ".join(
                 f"CAST({lit(v)} AS BIGINT)" if isinstance(v, int) else lit(v) for v in row) + ")"
                 for row in bridge.SHORT_ARTICLES) + ")")
+SUPPORT_KB = f"""{SHORT_KB}, kb AS (SELECT * FROM short UNION ALL
+  SELECT doc_id + 1 + {len(bridge.SHORT_ARTICLES)}, lang, source, 'Low',
+    split_part(text, chr(10), 1), text FROM documents)"""
+#: The classifier learns the category from the word in brackets, which names it.
+CLASSIFIED = TICKETS.replace(
+    "CASE WHEN event_id % 3 = 0 THEN 'click' ELSE upper(event_type) END AS predicted",
+    "event_type AS predicted")
 
 
 def terms(name: str, source: str, key: str, text: str, bigrams: bool = True) -> str:
@@ -243,7 +250,7 @@ CHAIN = f"""{asked('tickets')}, {scored('agent', 1, 'a_')},
     len(steps) = 0 AS resolution_failed, repeated_attempts >= 3 AS too_often FROM validated),
   escalated AS (SELECT *, critical_priority OR low_confidence OR validation_failed
     OR resolution_failed OR customer_requested_human OR too_often AS escalate FROM flagged)"""
-CHAINED = f"WITH {TICKETS}, {LEVELED}, {SHORT_KB}, {CHAIN}"
+CHAINED = f"WITH {TICKETS}, {LEVELED}, {SUPPORT_KB}, {CHAIN}"
 
 ANSWERS = """answered AS (SELECT ticket_id, CASE ticket_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN NULL
     WHEN 2 THEN ' Likely cause unknown.' || chr(10) || '- Look into: ' || description || chr(10)
@@ -275,7 +282,7 @@ OUTCOMES = f"""{ANSWERS}, outcomes AS (SELECT p.*, {strip("coalesce(a.answer, ''
       ELSE {lit(fixed.FALLBACK_RESOLUTION)} END AS resolution
     FROM prompted p LEFT JOIN answered a USING (ticket_id))"""
 
-SUBMITTED = f"""{CHAINED}, {scored('ticket', 3)}, {prompted('tickets')}, {OUTCOMES},
+SUBMITTED = f"""WITH {CLASSIFIED}, {LEVELED}, {SUPPORT_KB}, {CHAIN}, {scored('ticket', 3)}, {prompted('tickets')}, {OUTCOMES},
   kb_known AS (SELECT e.* EXCLUDE (resolution_failed), o.resolution, o.n_hits AS n_sources,
     e.article_id IS NOT NULL OR e.similarity > 0 OR o.n_hits > 0 AS kb_found,
     CASE WHEN len(e.steps) > 0 THEN e.steps ELSE {answer_steps('o.resolution')} END
@@ -397,12 +404,9 @@ def numbered(steps: str) -> str:
 
 
 NL = "chr(10)"
-TRACKER_BODY = f"""'Help Desk Escalated Ticket' || {NL} || {NL} || 'Ticket:' || {NL} || description
-  || {NL} || {NL} || 'Diagnosis:' || {NL} || diagnosis || {NL} || {NL} || 'Category:' || {NL}
-  || diagnosis || {NL} || {NL} || 'Diagnosis Confidence:' || {NL} || '80.00%' || {NL} || {NL}
-  || 'Help Desk Priority:' || {NL} || priority || {NL} || {NL} || 'Tracker Priority:' || {NL}
-  || coalesce(tracker_name, '') || {NL} || {NL} || 'Suggested Resolution:' || {NL} || response
-  || {NL} || {NL} || 'Steps:' || {NL} || {numbered('steps')}"""
+TRACKER_BODY = f"""description || {NL} || {NL} || 'diagnosed as ' || diagnosis || ', 80.00% sure'
+  || ' | our priority ' || priority || coalesce(' | filed as ' || tracker_name, '')
+  || {NL} || {NL} || response || {NL} || {numbered('steps')}"""
 RESPONSE = f"""CASE WHEN article_id IS NULL THEN {lit(fixed.NO_ARTICLE_RESPONSE)}
   ELSE 'A relevant knowledge-base article (''' || article_title || ''') was found for this issue. '
   || 'Follow the recommended troubleshooting steps below.' END"""
@@ -530,7 +534,8 @@ ORACLES |= {
         CASE WHEN too_often THEN 'Repeated resolution attempts reached 3 or more' END) AS reasons,
       critical_priority, low_confidence, validation_failed, resolution_failed,
       customer_requested_human, too_often AS repeated_attempts FROM escalated""",
-    "triage_end_to_end": f"""{SUBMITTED} SELECT ticket_id, predicted AS category, severity,
+    "triage_end_to_end": f"""{SUBMITTED} SELECT ticket_id, predicted AS category,
+      'v1' AS model_version, severity,
       priority, CASE WHEN escalated THEN 'Escalated' ELSE 'AI Resolved' END AS status, kb_found,
       ai_resolved, resolution_success, resolution_failed, classification_correct, escalated,
       CASE WHEN escalated THEN 'Escalated to Human Agent' ELSE 'Continue AI Resolution' END
@@ -546,14 +551,15 @@ ORACLES |= {
     "triage_metrics": f"""{SUBMITTED}, stored AS (SELECT *, total_time AS resolution_time,
       CAST(NULL AS DOUBLE) AS customer_rating FROM submitted)
       SELECT severity, {rates(4)} FROM stored GROUP BY severity""",
-    "answer_prompts": f"""WITH {TICKETS}, {SHORT_KB}, {asked('tickets')},
+    "answer_prompts": f"""WITH {TICKETS}, {SUPPORT_KB}, {asked('tickets')},
       {scored('ticket', 3)}, {prompted('tickets')}
       SELECT ticket_id, query, n_hits, context, sources, {lit(INSTRUCTIONS)} || {NL} || {NL}
       || 'SUPPORT TICKET:' || {NL} || description || {NL} || {NL} || 'RETRIEVAL QUERY:' || {NL}
       || query || {NL} || {NL} || 'KNOWLEDGE BASE:' || {NL} || context || {NL} || {NL}
-      || 'Answer with exactly these sections:' || {NL} || '### Likely Cause' || {NL}
-      || '### Troubleshooting Steps' || {NL} || '### Recommended Resolution' || {NL}
-      || '### Knowledge Base Source' || {NL} AS prompt FROM prompted""",
+      || 'Answer with exactly these sections:' || {NL} || {f" || {NL} || ".join(
+          f"'### ' || {lit(name)} || {NL} || {lit(guidance)}" for name, guidance in zip(
+              fixed.ANSWER_SECTIONS, fixed.ANSWER_GUIDANCE, strict=True))}
+      || {NL} AS prompt FROM prompted""",
     "answer_outcomes": f"""WITH {DOCUMENT_KB}, {BENCHMARK}, {asked('tickets')},
       {scored('ticket', 3)}, {prompted('tickets')}, {OUTCOMES}
       SELECT ticket_id, resolution, query, 'completed' AS ticket_analysis_status,
@@ -570,12 +576,16 @@ ORACLES |= {
       CASE WHEN n_hits = 0 THEN {lit(fixed.NOT_GENERATED_MESSAGE)}
         WHEN answer <> '' THEN {lit(fixed.GENERATED_MESSAGE)}
         ELSE {lit(fixed.FALLBACK_MESSAGE)} END AS resolution_generation_message,
-      n_hits AS articles_found FROM outcomes""",
+      n_hits AS articles_found,
+      CASE WHEN n_hits > 0 AND ticket_id % 5 = 2 THEN 2 WHEN n_hits > 0 AND ticket_id % 5 > 2 THEN 1
+        END AS attempts,
+      CASE WHEN n_hits > 0 AND ticket_id % 5 = 0 THEN {lit(fixed.BLANK_RESPONSE_ERROR)} END AS error
+      FROM outcomes""",
     "escalation_outbox": f"""{CHAINED}, named AS (SELECT *, {RESPONSE} AS response,
         CASE priority WHEN 'P1' THEN '1' WHEN 'P2' THEN '20' WHEN 'P3' THEN '3' END AS tracker_id,
         CASE priority WHEN 'P1' THEN 'Highest' WHEN 'P2' THEN 'P2' WHEN 'P3' THEN 'Medium' END
           AS tracker_name FROM escalated WHERE escalate),
-      bodies AS (SELECT *, 'Help Desk Escalation - ' || diagnosis AS summary,
+      bodies AS (SELECT *, diagnosis || ' (handed over by Help Desk)' AS summary,
         {TRACKER_BODY} AS body FROM named)
       SELECT ticket_id, priority, tracker_id, tracker_name, tracker_id IS NOT NULL AS success,
         summary, body AS description, CASE WHEN tracker_id IS NOT NULL THEN
@@ -584,12 +594,10 @@ ORACLES |= {
         || '[{{"type":"text","text":' || to_json(body) || '}}]}}]}},"issuetype":{{"name":"Task"}},'
         || '"priority":{{"id":' || to_json(tracker_id) || '}}}}}}' END AS payload FROM bodies""",
     "notice_outbox": f"""{SUBMITTED} SELECT ticket_id, email AS recipient,
-      'Help Desk - Ticket Resolution' AS subject, 'Hello,' || {NL} || {NL}
-      || 'Your IT support ticket has been automatically resolved by Help Desk.' || {NL} || {NL}
-      || 'Ticket:' || {NL} || description || {NL} || {NL}
-      || 'Recommended troubleshooting steps:' || {NL} || {NL} || {numbered('resolution_steps')}
-      || {NL} || 'If the issue is still not resolved, please contact the IT support team.' || {NL}
-      || {NL} || 'Regards,' || {NL} || 'Help Desk' AS body FROM submitted
+      'Your request to Help Desk: an answer' AS subject,
+      'Help Desk found an answer to what you wrote to us:' || {NL} || '> ' || description || {NL}
+      || {NL} || 'This should help:' || {NL} || {numbered('resolution_steps')} || {NL}
+      || 'Did it not? Reply to this message and a colleague takes over.' AS body FROM submitted
       WHERE ai_resolved AND email IS NOT NULL""",
     "dashboard_summary": f"""WITH {TICKETS}, {LEVELED}, {METRICS},
       a AS (SELECT count(*) AS total_tickets,
@@ -641,6 +649,13 @@ ORACLES |= {
       count(*) AS received, count(*) FILTER ({RESOLVED}) AS resolved FROM tickets GROUP BY 1""",
     "stream_repeated_attempts": f"""WITH {TICKETS} SELECT employee_name, count(*) AS attempts,
       count(*) >= 3 AS too_many FROM tickets GROUP BY employee_name""",
+    "stream_submissions": f"""{SUBMITTED} SELECT ticket_id, description, predicted AS category,
+      'v1' AS model_version, severity, priority,
+      CASE WHEN escalated THEN 'Escalated' ELSE 'AI Resolved' END AS status, employee_name,
+      coalesce(department, 'IT') AS department, ai_resolved, resolution_success, kb_found,
+      classification_correct, escalated, CAST(NULL AS DOUBLE) AS customer_rating,
+      round(total_time, 6) AS resolution_time, round(ai_response_time, 6) AS ai_response_time
+      FROM submitted""",
     "stream_triage": f"""{CHAINED} {TICKET_ROW},
       CASE WHEN passed THEN 'AUTO_RESOLVE' ELSE 'ESCALATE' END AS validation_status, escalate
       FROM escalated""",

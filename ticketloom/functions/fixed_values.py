@@ -135,6 +135,17 @@ CONTEXT_BLOCK = (
     "Relevance Score: %.4f\n\nContent:\n%s\n")
 ANSWER_SECTIONS = ["Likely Cause", "Troubleshooting Steps", "Recommended Resolution",
                    "Knowledge Base Source"]
+#: What each section should hold; the wording is our own.
+ANSWER_GUIDANCE = [
+    "The cause that the extracts make most probable.",
+    "What to try, one numbered step per line.",
+    "What to tell the customer to do.",
+    "Id and title of the article that this rests on."]
+#: Calls of the scorer per ticket, and what a call without a text counts as.
+MAX_SCORER_ATTEMPTS = 3
+NO_RESPONSE_ERROR = "The model returned no response."
+EMPTY_RESPONSE_ERROR = "The model returned an empty response."
+BLANK_RESPONSE_ERROR = "The model returned nothing but white space."
 
 # --- Fixed values: knowledge-article texts, first matching rule wins --------
 ARTICLE_TITLE = "{subcategory} Troubleshooting Guide"

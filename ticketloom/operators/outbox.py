@@ -46,22 +46,16 @@ def escalation_outbox(triaged: DataFrame, available: DataFrame, project: str = "
     tracker does not offer keep a row without a payload.
     """
     escalated = tracker_priority(triaged.where(F.col("escalation.escalate")), available)
-    summary = F.concat(F.lit(f"{product} Escalation - "), F.col("diagnosis.category"))
-
-    def section(title: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{title}:\n"), value, F.lit("\n\n"))
-
+    summary = F.concat(F.col("diagnosis.category"), F.lit(f" (handed over by {product})"))
+    facts = F.concat_ws(
+        " | ", F.concat(F.lit("diagnosed as "), F.col("diagnosis.diagnosis"), F.format_string(
+            ", %.2f%% sure", F.col("diagnosis.confidence") * 100)),
+        F.concat(F.lit("our priority "), F.col("priority")),
+        F.concat(F.lit("filed as "), F.col("tracker_name")))
     body = F.concat(
-        F.lit(f"{product} Escalated Ticket\n\n"),
-        section("Ticket", F.coalesce("description", F.lit(""))),
-        section("Diagnosis", F.col("diagnosis.diagnosis")),
-        section("Category", F.col("diagnosis.category")),
-        section("Diagnosis Confidence", F.format_string(
-            "%.2f%%", F.col("diagnosis.confidence") * 100)),
-        section(f"{product} Priority", F.col("priority")),
-        section("Tracker Priority", F.coalesce("tracker_name", F.lit(""))),
-        section("Suggested Resolution", F.col("agent_resolution.response")),
-        F.lit("Steps:\n"), numbered(F.col("agent_resolution.steps")))
+        F.coalesce("description", F.lit("")), F.lit("\n\n"), facts, F.lit("\n\n"),
+        F.col("agent_resolution.response"), F.lit("\n"),
+        numbered(F.col("agent_resolution.steps")))
     offered = F.col("tracker_id").isNotNull()
     built = escalated.select(
         "ticket_id", "priority", "tracker_id", "tracker_name", summary.alias("summary"),
@@ -84,13 +78,11 @@ def notice_outbox(submitted: DataFrame, product: str = PRODUCT) -> DataFrame:
     """(ticket_id, recipient, subject, body) per automatically resolved ticket with an address."""
     recipient = strip(F.coalesce("email", F.lit("")))
     body = F.concat(
-        F.lit("Hello,\n\nYour IT support ticket has been automatically resolved by "
-              f"{product}.\n\nTicket:\n"), F.coalesce("description", F.lit("")),
-        F.lit("\n\nRecommended troubleshooting steps:\n\n"),
+        F.lit(f"{product} found an answer to what you wrote to us:\n> "),
+        F.coalesce("description", F.lit("")), F.lit("\n\nThis should help:\n"),
         numbered(F.col("resolution_steps")),
-        F.lit("\nIf the issue is still not resolved, please contact the IT support team."
-              f"\n\nRegards,\n{product}"))
+        F.lit("\nDid it not? Reply to this message and a colleague takes over."))
     return submitted.where(F.col("ai_resolved")).withColumn("recipient", recipient).where(
         F.col("recipient") != "").select(
-        "ticket_id", "recipient", F.lit(f"{product} - Ticket Resolution").alias("subject"),
+        "ticket_id", "recipient", F.lit(f"Your request to {product}: an answer").alias("subject"),
         body.alias("body"))

@@ -47,7 +47,8 @@ def sources(hits: Column) -> Column:
 def prompt(ticket: Column, query: Column, context_text: Column,
            instructions: str = INSTRUCTIONS) -> Column:
     """The request text for an external batch scorer."""
-    sections = "\n".join(f"### {name}" for name in fixed.ANSWER_SECTIONS)
+    sections = "\n".join(f"### {name}\n{guidance}" for name, guidance in zip(
+        fixed.ANSWER_SECTIONS, fixed.ANSWER_GUIDANCE, strict=True))
     return F.concat(
         F.lit(f"{instructions}\n\nSUPPORT TICKET:\n"), ticket,
         F.lit("\n\nRETRIEVAL QUERY:\n"), query,
@@ -72,15 +73,45 @@ def _counted(template: str, n: Column) -> Column:
     return F.concat(F.lit(before), n.cast("string"), F.lit(after))
 
 
+def fold_attempts(log: DataFrame, key: str,
+                  most: int = fixed.MAX_SCORER_ATTEMPTS) -> DataFrame:
+    """(key, answer, attempts, error) from a log of calls(key, attempt, answer, error).
+
+    Attempts are numbered from 1; those beyond the limit do not count. The first one with a
+    text ends the calls: its number is `attempts`, and there is no error. Without any, the last
+    attempt's error stands, and `attempts` is NULL.
+    """
+    answer = F.col("answer")
+    text = strip(F.coalesce(answer, F.lit("")))
+    error = F.when(text != "", F.lit(None)).otherwise(F.coalesce(
+        F.col("error"), F.when(answer.isNull(), fixed.NO_RESPONSE_ERROR).when(
+            answer == "", fixed.EMPTY_RESPONSE_ERROR).otherwise(fixed.BLANK_RESPONSE_ERROR)))
+    calls = log.where(F.col("attempt").between(1, most)).select(
+        key, F.col("attempt").cast("int").alias("attempt"), text.alias("text"),
+        error.alias("error"))
+    answered = F.when(F.col("text") != "", F.col("attempt"))
+    folded = calls.groupBy(key).agg(
+        F.min(answered).alias("attempts"), F.min_by("text", answered).alias("answer"),
+        F.max_by("error", "attempt").alias("_last"))
+    return folded.select(key, "answer", "attempts", F.when(
+        F.col("attempts").isNull(), F.col("_last")).alias("error"))
+
+
 def outcomes(prompted: DataFrame, answers: DataFrame, key: str,
              model_name: str = "external") -> DataFrame:
     """(key, resolution, sources, query, context, workflow) from scored answers(key, answer).
 
     Without hits the ticket is reported as insufficient whatever was
-    answered; hits without an answer text give the fallback.
+    answered; hits without an answer text give the fallback.  If the answers
+    bring attempts and error (fold_attempts), the last stage tells them: the
+    attempts of an answer, the error of a fallback.
     """
     text = strip(F.coalesce(F.col("answer"), F.lit("")))
-    joined = prompted.join(answers.select(key, "answer"), key, "left").withColumn("answer", text)
+    told = {name: F.col(name) if name in answers.columns else F.lit(None).cast(kind)
+            for name, kind in (("attempts", "int"), ("error", "string"))}
+    joined = prompted.join(answers.select(
+        key, "answer", *[column.alias(f"_{name}") for name, column in told.items()]),
+        key, "left").withColumn("answer", text)
     n = F.col("n_hits")
     hit, answered = n > 0, F.col("answer") != ""
 
@@ -101,7 +132,10 @@ def outcomes(prompted: DataFrame, answers: DataFrame, key: str,
             "failed_with_fallback"),
             F.when(~hit, fixed.NOT_GENERATED_MESSAGE).when(
                 answered, fixed.GENERATED_MESSAGE).otherwise(fixed.FALLBACK_MESSAGE),
-            F.lit(model_name).alias("model")).alias("resolution_generation"))
+            F.lit(model_name).alias("model"),
+            F.when(hit & answered, F.col("_attempts")).alias("attempts"),
+            F.when(hit & ~answered, F.col("_error")).alias("error"))
+        .alias("resolution_generation"))
     resolution = F.when(~hit, fixed.INSUFFICIENT_RESOLUTION).when(
         answered, F.col("answer")).otherwise(fixed.FALLBACK_RESOLUTION)
     return joined.select(key, resolution.alias("resolution"), "sources", "query", "context",

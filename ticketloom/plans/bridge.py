@@ -148,6 +148,12 @@ def short_articles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SHORT_ARTICLES, ARTICLES)
 
 
+def support_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve short articles and all documents, whose ids follow theirs."""
+    more = document_articles(spark, sf_dir).withColumn("id", F.col("id") + len(SHORT_ARTICLES))
+    return short_articles(spark).unionByName(more)
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("ticket_id"), F.col("text").alias("description"))
@@ -181,6 +187,27 @@ def stepped_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(text).alias("content")).alias("article"))
 
 
+def attempt_log(tickets_view: DataFrame) -> DataFrame:
+    """(ticket_id, attempt, answer, error): what each call of an external scorer gave.
+
+    One ticket in five fails three times, one was never tried, one succeeds at the second
+    attempt, the others at once; the texts are those of generated_answers.
+    """
+    ticket = F.col("ticket_id")
+    known = generated_answers(tickets_view)
+    tries = F.when(ticket % 5 == 0, F.array(*[F.struct(
+        F.lit(number).alias("attempt"), F.lit(text).alias("answer"), F.lit(error).alias("error"))
+        for number, text, error in ((1, None, "Timed out."), (2, "", None), (3, "  ", None))])
+    ).when(ticket % 5 == 2, F.array(
+        F.struct(F.lit(1).alias("attempt"), F.lit(None).cast("string").alias("answer"),
+                 F.lit(None).cast("string").alias("error")),
+        F.struct(F.lit(2).alias("attempt"), F.col("answer"),
+                 F.lit(None).cast("string").alias("error")))
+    ).when(ticket % 5 > 2, F.array(F.struct(
+        F.lit(1).alias("attempt"), F.col("answer"), F.lit(None).cast("string").alias("error"))))
+    return known.select("ticket_id", F.explode(tries).alias("_try")).select("ticket_id", "_try.*")
+
+
 def generated_answers(tickets_view: DataFrame) -> DataFrame:
     """Stand-in for an external scorer's answers: texts, blanks and missing rows."""
     ticket = F.col("ticket_id")

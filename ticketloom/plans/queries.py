@@ -32,6 +32,7 @@ from ticketloom.plans import answers, bridge, evaluation, triage
 from ticketloom.plans.knowledge_base import article_count, build_articles
 from ticketloom.session import materialise, new_folder
 from ticketloom.sources import schemas, tables
+from ticketloom.sources.ledger import Ledger
 from ticketloom.streaming import live, runs, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,8 +230,33 @@ def resolution_steps(spark, sf_dir):
 
 # --- triage ------------------------------------------------------------------
 
+def support_index(spark, sf_dir):
+    """The index of the support articles: the twelve short ones and all documents."""
+    return fit_index(bridge.support_articles(spark, sf_dir))
+
+
+def topic_classifier(spark, sf_dir):
+    """(model, version): trained on all tickets of known category, published and loaded again."""
+    known = bridge.tickets(spark, sf_dir).where("actual_category != ''").select(
+        "description", "actual_category")
+    folder = new_folder(spark, "models")
+    model.publish(model.train_classifier(known, "description", "actual_category"), folder,
+                  known.count())
+    return model.latest(spark, folder)
+
+
+def answers_for(index):
+    """What tickets are told, with the texts of the external scorer."""
+    def given(tickets):
+        hits = answers.collect_hits(
+            search(tickets, index, "ticket_id", "description", 3), index, "ticket_id")
+        prompted = answers.prompts(tickets, hits, "ticket_id", "description")
+        return answers.outcomes(prompted, bridge.generated_answers(tickets), "ticket_id")
+    return given
+
+
 def validate_escalate(spark, sf_dir):
-    index = fit_index(bridge.short_articles(spark))
+    index = support_index(spark, sf_dir)
     given = triage.classify_by_rules(bridge.tickets(spark, sf_dir))
     conditions = [F.col(f"escalation.conditions.{name}").alias(name) for name in (
         "critical_priority", "low_confidence", "validation_failed", "resolution_failed",
@@ -248,19 +274,15 @@ def validate_escalate(spark, sf_dir):
 
 
 def submitted(spark, sf_dir):
-    """All tickets through search, answers and the agent chain."""
-    tickets = bridge.tickets(spark, sf_dir)
-    index = fit_index(bridge.short_articles(spark))
-    hits = answers.collect_hits(
-        search(tickets, index, "ticket_id", "description", 3), index, "ticket_id")
-    prompted = answers.prompts(tickets, hits, "ticket_id", "description")
-    outcomes = answers.outcomes(prompted, bridge.generated_answers(tickets), "ticket_id")
-    return triage.submit(tickets, index, outcomes)
+    """All tickets through the classifier, search, answers and the agent chain."""
+    index = support_index(spark, sf_dir)
+    tickets = triage.classify(bridge.tickets(spark, sf_dir), *topic_classifier(spark, sf_dir))
+    return triage.submit(tickets, index, answers_for(index)(tickets))
 
 
 def triage_end_to_end(spark, sf_dir):
     return submitted(spark, sf_dir).select(
-        "ticket_id", F.col("predicted").alias("category"), "severity", "priority", "status",
+        "ticket_id", F.col("predicted").alias("category"), "model_version", "severity", "priority", "status",
         "kb_found", "ai_resolved", "resolution_success", "resolution_failed",
         "classification_correct", "escalated", "escalation_status", "escalation_reason",
         "resolution", F.array_join("resolution_steps", "|").alias("steps"),
@@ -282,7 +304,7 @@ def triage_metrics(spark, sf_dir):
 
 
 def answer_prompts(spark, sf_dir):
-    index = fit_index(bridge.short_articles(spark))
+    index = support_index(spark, sf_dir)
     tickets = bridge.tickets(spark, sf_dir)
     hits = answers.collect_hits(
         search(tickets, index, "ticket_id", "description", 3), index, "ticket_id")
@@ -300,7 +322,8 @@ def answer_outcomes(spark, sf_dir):
     hits = answers.collect_hits(
         search(asked, index, "ticket_id", "description", 3), index, "ticket_id")
     prompted = answers.prompts(asked, hits, "ticket_id", "description")
-    done = answers.outcomes(prompted, bridge.generated_answers(asked), "ticket_id")
+    done = answers.outcomes(
+        prompted, answers.fold_attempts(bridge.attempt_log(asked), "ticket_id"), "ticket_id")
     stages = ["ticket_analysis", "knowledge_retrieval", "context_augmentation",
               "resolution_generation"]
     return done.select(
@@ -308,11 +331,13 @@ def answer_outcomes(spark, sf_dir):
             F.col(f"workflow.{name}.{part}").alias(f"{name}_{part}")
             for name in stages for part in ("status", "message")],
         F.col("workflow.knowledge_retrieval.articles_found").cast("bigint")
-        .alias("articles_found"))
+        .alias("articles_found"),
+        F.col("workflow.resolution_generation.attempts").cast("bigint").alias("attempts"),
+        F.col("workflow.resolution_generation.error").alias("error"))
 
 
 def escalation_outbox(spark, sf_dir):
-    index = fit_index(bridge.short_articles(spark))
+    index = support_index(spark, sf_dir)
     given = triage.classify_by_rules(bridge.tickets(spark, sf_dir))
     chained = triage.agent_triage(given, index).withColumnRenamed(
         "resolution", "agent_resolution")
@@ -458,8 +483,35 @@ def stream_repeated_attempts(spark, sf_dir):
     return runs.run_to_table(attempts, "update", ["employee_name"])
 
 
+def stream_submissions(spark, sf_dir):
+    """Tickets submitted in three batches, one of them replayed; the stored tables, read back."""
+    events = bridge.table(spark, sf_dir, "events")
+    parts = new_folder(spark, "events")
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(parts)
+    index = support_index(spark, sf_dir)
+    ledger = Ledger(spark, new_folder(spark, "submissions"), "submit").open()
+    handle = upserts.submission_batches(
+        index, *topic_classifier(spark, sf_dir), answers_for(index), ledger)
+
+    def twice(batch, batch_id):
+        handle(batch, batch_id)
+        if batch_id == 1:
+            handle(batch, batch_id)
+
+    runs.run_available(bridge.tickets_of(runs.file_stream(spark, parts, events.schema, 1)), twice)
+    stored = ledger.read("tickets", schemas.TICKETS)
+    rows = ledger.read("metrics", schemas.METRICS)
+    return stored.select("ticket_id", "description", "category", "model_version", "severity",
+                         "priority", "status", "employee_name", "department").join(
+        rows.select("ticket_id", "ai_resolved", "resolution_success", "kb_found",
+                    "classification_correct", "escalated", "customer_rating",
+                    F.round("resolution_time", SCORE_DIGITS).alias("resolution_time"),
+                    F.round("ai_response_time", SCORE_DIGITS).alias("ai_response_time")),
+        "ticket_id", "full")
+
+
 def stream_triage(spark, sf_dir):
-    index = fit_index(bridge.short_articles(spark))
+    index = support_index(spark, sf_dir)
     path = new_folder(spark, "triaged")
     stream = triage.classify_by_rules(bridge.tickets_of(event_stream(spark, sf_dir)))
     runs.run_available(stream, upserts.triage_batches(index, path))
@@ -563,7 +615,7 @@ REGISTERED: list[Query] = [
     live_feedback_metrics, classification_report, feedback_parse, feedback_targets,
     feedback_applied, latest_ticket_metrics, balanced_sample, stratified_split,
     train_classifier, stream_ticket_metrics, stream_feedback_metrics, stream_volume,
-    stream_repeated_attempts, stream_triage, stream_feedback, csv_round_trip,
+    stream_repeated_attempts, stream_submissions, stream_triage, stream_feedback, csv_round_trip,
     article_round_trip, table_append, metric_append, schema_evolution, stored_accuracy,
 ]
 QUERIES: dict[str, Query] = {query.__name__: query for query in REGISTERED}
