@@ -676,7 +676,27 @@ ORACLES |= {
     "schema_evolution": f"""WITH {TICKETS} SELECT department, count(*) AS n,
       count(employee_name) AS n_named FROM (SELECT NULL AS department, NULL AS employee_name
       FROM tickets UNION ALL SELECT department, employee_name FROM tickets) GROUP BY department""",
+    "rule_table_matches": """WITH r AS (SELECT doc_id AS rule_ord, source AS label,
+        lower(concat_ws(' ', split(text, ' ')[3], split(text, ' ')[4])) AS keyword FROM documents),
+      f AS (SELECT d.doc_id, min(rule_ord) AS rule_ord FROM documents d
+        JOIN r ON length(keyword) > 1 AND contains(lower(d.text), keyword) GROUP BY d.doc_id)
+      SELECT doc_id, rule_ord, coalesce(label, 'none') AS label FROM documents
+      LEFT JOIN f USING (doc_id) LEFT JOIN r USING (rule_ord)""",
+    "attempts_so_far": f"""WITH {TICKETS}, a AS (SELECT employee_name, ticket_id, count(*) OVER (
+        PARTITION BY employee_name ORDER BY created_at, ticket_id
+        ROWS UNBOUNDED PRECEDING) - 1 AS attempts FROM tickets)
+      SELECT *, attempts >= 3 AS too_many FROM a""",
+    "json_array_read": f"WITH {DOCUMENT_KB} SELECT * FROM kb",
+    "stored_evolution": f"""WITH {TICKETS}, stored AS (
+        SELECT NULL AS department, ticket_id, repeated_attempts, created_at FROM tickets UNION ALL
+        SELECT department, ticket_id + 8589934592, repeated_attempts, created_at FROM tickets)
+      SELECT department, count(*) AS n, max(ticket_id) AS last_ticket,
+        CAST(sum(repeated_attempts) AS BIGINT) AS attempts, count(created_at) AS n_dated
+      FROM stored GROUP BY department""",
+    "probed_accuracy": """SELECT round(100.0 * count(*) FILTER (event_id % 7 <> 0) / count(*), 2)
+      AS retrieval_accuracy, count(*) AS evaluated FROM events""",
     "stored_accuracy": """SELECT round(avg(v) * 100, 2) AS retrieval_accuracy, count(v) AS evaluated
       FROM (SELECT CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 0.0
       ELSE 1.0 END AS v FROM events)""",
 }
+ORACLES["stream_attempts_so_far"] = ORACLES["attempts_so_far"]

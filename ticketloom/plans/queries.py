@@ -17,6 +17,7 @@ from ticketloom.functions.coercion import (
     truth,
 )
 from ticketloom.operators import (
+    attempts,
     classification,
     clean,
     feedback,
@@ -24,6 +25,7 @@ from ticketloom.operators import (
     model,
     outbox,
     profile,
+    rule_index,
     sampling,
 )
 from ticketloom.operators.retrieval import best_article, search
@@ -119,6 +121,24 @@ def lowered_orders(spark, sf_dir):
         "o_orderkey", "o_orderpriority")
 
 
+def rule_table_matches(spark, sf_dir):
+    """One rule per document, its third and fourth word, against the texts of all documents."""
+    docs = bridge.table(spark, sf_dir, "documents")
+    words = F.split("text", " ")
+    rules_given = docs.select(
+        F.col("doc_id").alias("rule_ord"), F.lower(F.concat_ws(
+            " ", F.get(words, F.lit(2)), F.get(words, F.lit(3)))).alias("keyword"),
+        F.col("source").alias("label")).where(F.char_length("keyword") > 1)
+    return rule_index.first_rules(docs.select("doc_id", "text"), "text", rules_given, "none").select(
+        "doc_id", "rule_ord", "label")
+
+
+def attempts_so_far(spark, sf_dir):
+    """What each user had asked before each ticket."""
+    return attempts.attempts_before(bridge.tickets(spark, sf_dir)).select(
+        "employee_name", "ticket_id", "attempts", attempts.too_many().alias("too_many"))
+
+
 def table_shape(spark, sf_dir):
     return profile.shape(bridge.table(spark, sf_dir, "orders"))
 
@@ -483,6 +503,23 @@ def stream_repeated_attempts(spark, sf_dir):
     return runs.run_to_table(attempts, "update", ["employee_name"])
 
 
+def stream_attempts_so_far(spark, sf_dir):
+    """The same from a stream that is stopped twice and goes on with what came later."""
+    events = bridge.table(spark, sf_dir, "events")
+    parts, state, found = (new_folder(spark, name) for name in ("events", "stream-state", "found"))
+    cuts = events.select(F.percentile_approx("ts", [1 / 3, 2 / 3]).alias("cuts"))
+    thirds = events.join(F.broadcast(cuts)).withColumn("part", (
+        F.col("ts") > F.get("cuts", F.lit(0))).cast("int") + (
+        F.col("ts") > F.get("cuts", F.lit(1))).cast("int")).drop("cuts")
+    for part in range(3):
+        thirds.where(F.col("part") == part).drop("part").write.mode("append").parquet(parts)
+        counted = attempts.stream_attempts(bridge.tickets_of(
+            runs.file_stream(spark, parts, events.schema)))
+        runs.run_available(counted, runs.batch_writer(found), checkpoint=state)
+    return spark.read.schema(counted.schema).parquet(found).drop("batch").withColumn(
+        "too_many", attempts.too_many())
+
+
 def stream_submissions(spark, sf_dir):
     """Tickets submitted in three batches, one of them replayed; the stored tables, read back."""
     events = bridge.table(spark, sf_dir, "events")
@@ -594,6 +631,45 @@ def schema_evolution(spark, sf_dir):
         F.count("*").alias("n"), F.count("employee_name").alias("n_named"))
 
 
+def json_array_read(spark, sf_dir):
+    """All documents as articles, written as one JSON array, read back in splits."""
+    path = new_folder(spark, "article-array")
+    articles = bridge.document_articles(spark, sf_dir)
+    last = articles.agg(F.max("id")).scalar()
+    row = F.to_json(F.struct(*[F.col(name) for name in schemas.ARTICLES.names]))
+    lines = articles.coalesce(1).sortWithinPartitions("id").select(F.concat(
+        F.when(F.col("id") == articles.agg(F.min("id")).scalar(), "[\n").otherwise(""), row,
+        F.when(F.col("id") == last, "\n]").otherwise(",")).alias("value"))
+    lines.write.text(path)
+    return tables.read_articles(spark, path)
+
+
+def stored_evolution(spark, sf_dir):
+    """Tickets stored before a column came and while types were narrower, read with later ones."""
+    old, new = new_folder(spark, "tickets-old"), new_folder(spark, "tickets-new")
+    given = bridge.tickets(spark, sf_dir)
+    given.select(F.col("ticket_id").cast("int").alias("ticket_id"), "status",
+                 F.col("repeated_attempts").cast("smallint").alias("repeated_attempts"),
+                 F.to_date("created_at").alias("created_at")).write.parquet(old)
+    given.select(F.col("ticket_id") + (1 << 33), "status", "department", "repeated_attempts",
+                 "created_at").toDF("ticket_id", "status", "department", "repeated_attempts",
+                                    "created_at").write.parquet(new)
+    return tables.read_evolved(spark, [old, new]).groupBy("department").agg(
+        F.count("*").alias("n"), F.max("ticket_id").alias("last_ticket"),
+        F.sum("repeated_attempts").alias("attempts"),
+        F.count("created_at").alias("n_dated"))
+
+
+def probed_accuracy(spark, sf_dir):
+    """Accuracy from the first usable of three places: absent, without a verdict, usable."""
+    verdicts = bridge.table(spark, sf_dir, "events").select(
+        "event_id", (F.col("event_id") % 7 != 0).cast("int").alias("Retrieval_Correct"))
+    paths = [new_folder(spark, f"evaluation-{place}") for place in range(3)]
+    verdicts.drop("Retrieval_Correct").write.parquet(paths[1])
+    verdicts.write.parquet(paths[2])
+    return tables.retrieval_accuracy(tables.first_evaluation(spark, paths))
+
+
 def stored_accuracy(spark, sf_dir):
     """Accuracy from a stored text column with flags that are not always numbers."""
     verdict = F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).when(
@@ -604,7 +680,8 @@ def stored_accuracy(spark, sf_dir):
 
 REGISTERED: list[Query] = [
     ticket_severity_priority, ticket_diagnosis, conversation_diagnosis,
-    classification_correctness, loose_fields, clean_documents, audit_records, lowered_orders,
+    rule_table_matches, attempts_so_far, stream_attempts_so_far, json_array_read,
+    stored_evolution, probed_accuracy, classification_correctness, loose_fields, clean_documents, audit_records, lowered_orders,
     table_shape, null_counts, duplicate_rows, distinct_counts, value_counts,
     low_cardinality_values, first_rows_per_category, first_seen_values, articles_from_tickets,
     article_total, document_terms, frequent_terms, retrieve_topk, agent_best_article,
