@@ -572,7 +572,12 @@ def stream_feedback(spark, sf_dir):
     parts = new_folder(spark, "events")
     events.repartition(3, F.xxhash64("event_id")).write.parquet(parts)
     given = bridge.feedback_of(runs.file_stream(spark, parts, events.schema, 1))
-    runs.run_available(given, upserts.feedback_batches(spark, tickets_path, metrics_path))
+    marks = new_folder(spark, "metric-marks")
+    stored = spark.read.parquet(metrics_path)
+    feedback.extend_marks(stored.where("metric_id % 2 = 0"), marks)
+    feedback.extend_marks(stored.where("metric_id % 2 = 1"), marks)
+    runs.run_available(given, upserts.feedback_batches(
+        spark, tickets_path, metrics_path, marks_path=marks))
     return spark.read.parquet(tickets_path).select("ticket_id", "status").join(
         spark.read.parquet(metrics_path).select("ticket_id", "metric_id", "customer_rating"),
         "ticket_id")
