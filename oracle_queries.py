@@ -686,6 +686,19 @@ ORACLES |= {
         PARTITION BY employee_name ORDER BY created_at, ticket_id
         ROWS UNBOUNDED PRECEDING) - 1 AS attempts FROM tickets)
       SELECT *, attempts >= 3 AS too_many FROM a""",
+    "stored_summaries": f"WITH {TICKETS} SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT {lit(c)} AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n
+        FROM tickets WHERE (SELECT count(DISTINCT {c}) FROM tickets) <= 20 AND {c} IS NOT NULL
+        GROUP BY {c}""" for c in TICKET_COLUMNS) + ")",
+    "distinct_estimates": f"WITH {TICKETS} " + " UNION ALL ".join(
+        f"""SELECT {lit(c)} AS column_name, count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct,
+        true AS is_close FROM tickets""" for c in TICKET_COLUMNS),
+    "column_list": " UNION ALL ".join(
+        f"SELECT {place} AS position, {lit(c)} AS column_name, {lit(kind)} AS data_type"
+        for place, (c, kind) in enumerate(zip(ORDER_COLUMNS, (
+            "bigint", "bigint", "string", "double", "timestamp_ntz", "string"), strict=True), 1)),
+    "head_rows": """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders
+      ORDER BY o_orderkey LIMIT 5""",
     "json_array_read": f"WITH {DOCUMENT_KB} SELECT * FROM kb",
     "stored_evolution": f"""WITH {TICKETS}, stored AS (
         SELECT NULL AS department, ticket_id, repeated_attempts, created_at FROM tickets UNION ALL

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.operators.summaries import MOST, merged_values, summarise
+
 
 def shape(df: DataFrame) -> DataFrame:
     """(n_rows, n_columns)"""
@@ -65,29 +67,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
         F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 
 
-#: Rows in which a column may show that it has too many values.
-PROOF_ROWS = 1000
-
+def low_cardinality_values(df: DataFrame, most: int = MOST) -> DataFrame:
+    """(column_name, value, n) of each column with at most `most` distinct values, NULL not counted.
 
-def low_cardinality_values(df: DataFrame, most: int = 20) -> DataFrame:
-    """(column_name, value, n) of each column with at most `most` distinct values.
-
-    A column that has more than `most` values in any part of the table is
-    proven to have too many, so some rows serve to leave such columns out.  All
-    others are counted exactly over all rows, in one pass.
+    Exact and in one pass: see summaries.
     """
-    seen = distinct_counts(df.limit(PROOF_ROWS))
-    few = [row["column_name"] for row in seen.where(
-        F.col("n_distinct") <= most).collect()]  # at most one row per column
-    if not few:
-        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
-    pairs = F.array(*[F.struct(
-        F.lit(name).alias("column_name"), F.col(f"`{name}`").cast("string").alias("value"))
-        for name in few])
-    counts = df.select(F.inline_outer(pairs)).where(F.col("value").isNotNull()).groupBy(
-        "column_name", "value").agg(F.count("*").alias("n"))
-    values = F.count("*").over(Window.partitionBy("column_name"))
-    return counts.withColumn("_values", values).where(F.col("_values") <= most).drop("_values")
+    return merged_values(summarise(df, most=most), most)
 
 
 def first_seen_values(df: DataFrame, column: str, order: str) -> DataFrame:

@@ -27,6 +27,7 @@ from ticketloom.operators import (
     profile,
     rule_index,
     sampling,
+    summaries,
 )
 from ticketloom.operators.retrieval import best_article, search
 from ticketloom.operators.tfidf import fit_index, term_counts, tfidf_terms
@@ -636,6 +637,40 @@ def schema_evolution(spark, sf_dir):
         F.count("*").alias("n"), F.count("employee_name").alias("n_named"))
 
 
+def day_summaries(spark, sf_dir):
+    """Summaries of the tickets, stored by day, the later days in a second go."""
+    path = new_folder(spark, "summaries")
+    given = bridge.tickets(spark, sf_dir)
+    late = F.dayofmonth("created_at") > 15
+    for rows in (given.where(~late), given.where(late)):
+        summaries.summarise(rows, F.to_date("created_at")).write.mode("append").parquet(path)
+    return spark.read.schema(summaries.SUMMARY).parquet(path)
+
+
+def stored_summaries(spark, sf_dir):
+    """The values of the tickets' columns with few, from the summaries of all days."""
+    return summaries.merged_values(day_summaries(spark, sf_dir))
+
+
+def distinct_estimates(spark, sf_dir):
+    """Whether the merged sketches tell each column's distinct values within five percent."""
+    exact = profile.distinct_counts(bridge.tickets(spark, sf_dir))
+    return summaries.merged_counts(day_summaries(spark, sf_dir)).withColumnRenamed(
+        "n_distinct", "_about").join(exact, "column_name").select(
+        "column_name", "n_rows", "n_distinct",
+        (F.abs(F.col("_about") - F.col("n_distinct")) <= 0.05 * F.col("n_distinct"))
+        .alias("is_close"))
+
+
+def column_list(spark, sf_dir):
+    return profile.column_names(bridge.table(spark, sf_dir, "orders"))
+
+
+def head_rows(spark, sf_dir):
+    return profile.first_rows(bridge.table(spark, sf_dir, "orders"), "o_orderkey").select(
+        "o_orderkey", "o_custkey", "o_orderpriority")
+
+
 def json_array_read(spark, sf_dir):
     """All documents as articles, written as one JSON array, read back in splits."""
     path = new_folder(spark, "article-array")
@@ -686,7 +721,8 @@ def stored_accuracy(spark, sf_dir):
 REGISTERED: list[Query] = [
     ticket_severity_priority, ticket_diagnosis, conversation_diagnosis,
     rule_table_matches, attempts_so_far, stream_attempts_so_far, json_array_read,
-    stored_evolution, probed_accuracy, classification_correctness, loose_fields, clean_documents, audit_records, lowered_orders,
+    stored_evolution, probed_accuracy, stored_summaries, distinct_estimates, column_list,
+    head_rows, classification_correctness, loose_fields, clean_documents, audit_records, lowered_orders,
     table_shape, null_counts, duplicate_rows, distinct_counts, value_counts,
     low_cardinality_values, first_rows_per_category, first_seen_values, articles_from_tickets,
     article_total, document_terms, frequent_terms, retrieve_topk, agent_best_article,
