@@ -643,6 +643,10 @@ ORACLES |= {
       ELSE 'train' END AS part FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n,
       row_number() OVER (PARTITION BY lang
         ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':42')), doc_id) AS p FROM documents)""",
+    "train_by_tables": """SELECT count(*) AS n_tested, true AS told FROM (SELECT lang,
+      count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang
+        ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':42')), doc_id) AS p FROM documents)
+      WHERE p <= floor(n * 0.2 + 0.5)""",
     "stream_ticket_metrics": f"WITH {METRICS} {LIVE}",
     "stream_feedback_metrics": f"WITH {FEEDBACK}, {PARSED} {LIVE_FEEDBACK}",
     "stream_volume": f"""WITH {TICKETS} SELECT strftime(created_at, '%Y-%m-%d') AS day,

@@ -34,7 +34,9 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 def spread_join(facts: DataFrame, side: DataFrame, on: Sequence[str], hot_on: str,
                 salt_by: Sequence[str], how: str = "inner",
-                counts: DataFrame | None = None, spread: int = SPREAD) -> DataFrame:
+                counts: DataFrame | None = None, spread: int = SPREAD,
+                side_salt_by: Sequence[str] | None = None,
+                side_counts: DataFrame | None = None) -> DataFrame:
     """Join on keys whose hot values are split over several tasks.
 
     If one side is small enough for Catalyst to broadcast, nothing is shuffled
@@ -42,8 +44,12 @@ def spread_join(facts: DataFrame, side: DataFrame, on: Sequence[str], hot_on: st
     `hot_on` are counted (or taken from `counts(hot_on, n)`).  Rows with such
     a value get a salt from their own columns, and the matching rows of the
     other side are repeated once per salt value.  Nothing is dropped, and the
-    rows of all other keys are joined as usual.
+    rows of all other keys are joined as usual.  With side_salt_by (inner joins
+    only) the side's own hot values are split in the same way, so a value that
+    is hot on both sides is dealt out as a grid.
     """
+    if side_salt_by is not None and how != "inner":
+        raise ValueError("only inner joins can split both sides")
     if fits_broadcast(side) or (how == "inner" and fits_broadcast(facts)):
         return facts.join(side, list(on), how)
     if counts is None:
@@ -56,7 +62,16 @@ def spread_join(facts: DataFrame, side: DataFrame, on: Sequence[str], hot_on: st
         F.array(F.lit(0)))
     right = side.join(marked, hot_on, "left").withColumn(
         "_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    if side_salt_by is None:
+        return left.join(right, [*on, "_salt"], how).drop("_salt")
+    if side_counts is None:
+        side_counts = side.groupBy(hot_on).agg(F.count("*").alias("n"))
+    marked = F.broadcast(hot_keys(side_counts, hot_on, "n").withColumn("_hot", F.lit(True)))
+    salt = F.pmod(F.xxhash64(*[F.col(name) for name in side_salt_by]), F.lit(spread)).cast("int")
+    left = left.join(marked, hot_on, "left").withColumn("_side_salt", F.explode(copies)).drop("_hot")
+    right = right.join(marked, hot_on, "left").withColumn(
+        "_side_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    return left.join(right, [*on, "_salt", "_side_salt"]).drop("_salt", "_side_salt")
 
 
 def join_by_text(facts: DataFrame, side: DataFrame, text: str,

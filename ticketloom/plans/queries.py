@@ -28,6 +28,7 @@ from ticketloom.operators import (
     rule_index,
     sampling,
     summaries,
+    text_model,
 )
 from ticketloom.operators.retrieval import best_article, search
 from ticketloom.operators.tfidf import fit_index, term_counts, tfidf_terms
@@ -476,6 +477,22 @@ def train_classifier(spark, sf_dir):
     return classification.classification_report(tested, "lang", "predicted", 4)
 
 
+def train_by_tables(spark, sf_dir):
+    """The same with the vocabulary as a table; whether the rest is told well enough."""
+    parts = materialise(sampling.stratified_split(
+        bridge.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "lang",
+        "doc_id"), "split")
+    path = new_folder(spark, "text-classifier")
+    text_model.TextClassifier.fit(
+        parts.where(F.col("part") == "train"), "doc_id", "text", "lang",
+        max_iterations=100).save(path)
+    tested = text_model.TextClassifier.load(spark, path).predict(
+        parts.where(F.col("part") == "test"), "doc_id", "text")
+    return tested.agg(
+        F.count("*").alias("n_tested"),
+        (F.avg((F.col("predicted") == F.col("lang")).cast("double")) >= 0.9).alias("told"))
+
+
 # --- streams -----------------------------------------------------------------
 
 def event_stream(spark, sf_dir):
@@ -732,7 +749,7 @@ REGISTERED: list[Query] = [
     ticket_counts_by_department, weekly_volume, recent_tickets, live_ticket_metrics,
     live_feedback_metrics, classification_report, feedback_parse, feedback_targets,
     feedback_applied, latest_ticket_metrics, balanced_sample, stratified_split,
-    train_classifier, stream_ticket_metrics, stream_feedback_metrics, stream_volume,
+    train_classifier, train_by_tables, stream_ticket_metrics, stream_feedback_metrics, stream_volume,
     stream_repeated_attempts, stream_submissions, stream_triage, stream_feedback, csv_round_trip,
     article_round_trip, table_append, metric_append, schema_evolution, stored_accuracy,
 ]
