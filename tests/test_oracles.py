@@ -1,5 +1,6 @@
 """Registered queries against their SQL on DuckDB, on whole tables."""
 
+import functools
 import math
 import os
 
@@ -7,12 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from ticketloom.plans import queries
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-# Long searches are compared with brute force elsewhere.
-SLOW = {"retrieval_accuracy", "ticket_scorecards", "triage_metrics", "notice_outbox",
-        "answer_outcomes", "stream_triage", "escalation_outbox"}
 
 
 def plain(value):
@@ -37,7 +36,16 @@ def duck(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_point.oracle_sql()) - SLOW))
+@pytest.fixture(scope="module", autouse=True)
+def shared_fits():
+    """The article index and the classifier are fitted once for all queries."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("support_index", "topic_classifier"):
+            patch.setattr(queries, name, functools.cache(getattr(queries, name)))
+        yield
+
+
+@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     got = entry_point.queries()[name](spark, sf_dir)
     cursor = duck.execute(entry_point.oracle_sql()[name])
