@@ -21,58 +21,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import encoded, map_batches
-from ticketloom.llm.encode import CHUNK, encoder, irregular
-
-#: Words kept per worker with their token spans.
-CACHE_WORDS = 300_000
-
+from ticketloom.llm.common import ENCODED_BYTES, encoded, map_batches
+from ticketloom.llm.encode import encoder
 
 class SpanEncoder:
-    """Token spans in characters, with the words' spans cached as the ids are in Encoder."""
+    """Token spans in characters; byte-level tokens get theirs from the bytes that they spell."""
 
     def __init__(self, path: str):
         self.encoder = encoder(path)
-        self.cache: dict = {}
 
     def whole(self, text: str) -> np.ndarray:
         spans = self.encoder.tokenizer.encode(text, add_special_tokens=False).offsets
-        return np.array(spans, np.int32).reshape(-1, 2)
-
-    def spans(self, text: str) -> np.ndarray:
-        """One row (start, end) per token of encode(text, add_special_tokens=False)."""
-        if not text:
-            return np.empty((0, 2), np.int32)
-        if self.encoder.kind != "spaced" or irregular(text):
-            return self.whole(text)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = "\n" + words[0]
-        missing = {word for word in words if word not in self.cache}
-        if missing:
-            self.learn(list(missing))
-        found = [self.cache[word] for word in words]
-        spans = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2)
-        # A word has its blank or line break in front, but for the first one's.
-        sizes = np.array([len(word) + (word[:1] != "\n") for word in words])
-        starts = np.cumsum(sizes) - sizes - 1
-        tokens = np.array([len(one) // 8 for one in found])
-        return (spans + np.repeat(starts, tokens)[:, None])[1:]
-
-    def learn(self, words: list[str]) -> None:
-        for first in range(0, len(words), CHUNK):
-            units = [word if word[:1] == "\n" else " " + word
-                     for word in words[first:first + CHUNK]]
-            spans = self.whole("".join(units))
-            begins = np.concatenate([[0], np.cumsum([len(unit) for unit in units])])
-            at = np.searchsorted(spans[:, 0], begins)
-            for unit, word, start, low, high in zip(
-                    units, words[first:first + CHUNK], begins, at, at[1:], strict=False):
-                own = spans[low:high] - np.int32(start)
-                if not len(own) or own[-1, 1] > len(unit):
-                    own = self.whole(unit)
-                self.cache[word] = own.astype(np.int32).tobytes()
+        return np.array(spans, np.int64).reshape(-1, 2)
+
+    def spans(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of each text one row (start, end) per token of encode(text, add_special_tokens=False).
+
+        A token that covers a part of a character spans all of it.
+        """
+        if self.encoder.kind != "spaced":
+            return [self.whole(text.decode()) for text in texts]
+        out = []
+        for text, ids in zip(texts, self.encoder.encode(texts), strict=True):
+            sizes = self.encoder.bytes_of[np.frombuffer(ids, "<u4")]
+            ends = np.cumsum(sizes)
+            spans = np.stack([ends - sizes, ends - 1], axis=1)  # first and last byte
+            if not text.isascii():
+                begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+                spans = (np.cumsum(begins) - 1)[spans]
+            spans[:, 1] += 1
+            out.append(spans)
+        return out
 
 
 _ENCODERS: dict[str, SpanEncoder] = {}
@@ -81,9 +60,8 @@ _ENCODERS: dict[str, SpanEncoder] = {}
 def allocate(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(tokens, crossing tokens) per section; sections are sorted and do not overlap."""
     filled = np.flatnonzero(ends > starts)
-    n, crossing = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
     if not len(filled) or not len(spans):
-        return n, crossing
+        return np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
     begin, end = starts[filled], ends[filled]
     first = np.clip(np.searchsorted(begin, spans[:, 0], "right") - 1, 0, None)
     last = np.clip(np.searchsorted(begin, np.maximum(spans[:, 1] - 1, spans[:, 0]), "right") - 1,
@@ -94,9 +72,8 @@ def allocate(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         among = np.arange(first[at], last[at] + 1)
         shared = np.minimum(end[among], spans[at, 1]) - np.maximum(begin[among], spans[at, 0])
         home[at] = among[int(np.argmax(shared))]
-    np.add.at(n, filled[home], 1)
-    np.add.at(crossing, filled[home[over]], 1)
-    return n, crossing
+    return (np.bincount(filled[home], minlength=len(starts)),
+            np.bincount(filled[home[over]], minlength=len(starts)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, fields: Sequence[str],
@@ -136,11 +113,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, fields: Sequence[str],
             _ENCODERS[tokenizer] = SpanEncoder(tokenizer)
         coder = _ENCODERS[tokenizer]
         rows, parts, counts, crosses = [], [], [], []
-        for at, (raw, sizes) in enumerate(zip(
-                encoded(batch.column("text")), batch.column("sizes").to_pylist(), strict=True)):
-            body = raw.decode()
-            found = np.array(list(sections(body, sizes)), np.int64)
-            n, crossing = allocate(coder.spans(body), found[:, 2], found[:, 3])
+        texts = encoded(batch.column("text"))
+        for at, (raw, spans, sizes) in enumerate(zip(
+                texts, coder.spans(texts), batch.column("sizes").to_pylist(), strict=True)):
+            found = np.array(list(sections(raw.decode(), sizes)), np.int64)
+            n, crossing = allocate(spans, found[:, 2], found[:, 3])
             rows.append(np.full(len(found), at))
             parts.append(found)
             counts.append(n)
@@ -155,4 +132,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, fields: Sequence[str],
 
     return map_batches(rows, step, (
         f"doc_id {kind}, field string, section int, start long, end long, n_tokens long, "
-        "n_crossing long"))
+        "n_crossing long"), max_bytes=ENCODED_BYTES)
