@@ -15,6 +15,8 @@ from ticketloom.session import materialise
 
 #: Text bytes that one step of a Python task works on; a longer text is one step by itself.
 SLICE_BYTES = 2 << 20
+#: The same where texts are encoded: the more text, the more often a word repeats in it.
+ENCODED_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +52,11 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, step: Callable, schema, text: str = "text") -> DataFrame:
+def map_batches(df: DataFrame, step: Callable, schema, text: str = "text",
+                max_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow in bounded slices; step turns one record batch into one."""
     def run(batches):
-        for piece in slices(batches, text):
+        for piece in slices(batches, text, max_bytes):
             out = step(piece)
             if out is not None and out.num_rows:
                 yield out

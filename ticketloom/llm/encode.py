@@ -16,12 +16,14 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words kept per worker in each of two generations, about 80 MB each.
-CACHE_WORDS = 350_000
+#: Words kept per worker in each of two generations, about 60 MB each.
+CACHE_WORDS = 250_000
 #: Marks at the end of a word that are a pre-token by themselves, after a letter.
 MARKS = ".,;:!?%*$#&|)"
-CHUNK = 200
+CHUNK = 500
 DOUBLE = re.compile(r"\s\s")
 
 
@@ -77,49 +79,74 @@ class Encoder:
             return [self.whole(text.decode()) for text in texts]
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
-        out = []
-        for text in texts:
-            if self.kind == "dropped":
-                words = text.lower().split()
-            else:
-                plain = text.decode()
-                if not plain:
-                    out.append(b"")
-                    continue
-                if irregular(plain):
-                    out.append(self.whole(plain))
-                    continue
-                words = plain.replace("\n", " \n").split(" ")
-                words[0] = "\n" + words[0]
-            get = self.cache.get
-            found = [get(word) for word in words]
-            if None in found:
-                self.learn({word for word, ids in zip(words, found, strict=True) if ids is None})
-                cache = self.cache
-                found = [cache[word] for word in words]
-            ids = b"".join(found)
-            out.append(ids if self.kind == "dropped" else ids[4:])
+        out = [b""] * len(texts)
+        if self.kind == "dropped":
+            regular, lead = range(len(texts)), 0
+            given = pa.array(texts, pa.binary()).cast(pa.string())
+            words = pc.ascii_split_whitespace(pc.ascii_lower(given))
+        else:
+            regular, plain, lead = [], [], 1  # a line feed stands before each text
+            for place, text in enumerate(texts):
+                one = text.decode()
+                if irregular(one):
+                    out[place] = self.whole(one)
+                elif one:
+                    regular.append(place)
+                    plain.append("\n" + one)
+            given = pa.array(plain, pa.string())
+            words = pc.split_pattern(pc.replace_substring(given, "\n", " \n"), " ")
+            words = pc.list_slice(words, 1)  # before the line feed there is nothing
+        ids, ends = self.ids_of(words.flatten())
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(
+            zero_copy_only=False), dtype=np.int64)])].tolist()
+        for place, first, last in zip(regular, bounds, bounds[1:], strict=False):
+            out[place] = ids[first + lead:last].tobytes()
         return out
 
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many there are up to each word, from 0.
+
+        Each distinct word is looked up once; the rest is one gathering of ids.
+        """
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        if self.kind == "dropped":
+            distinct = distinct.cast(pa.binary())
+        distinct = distinct.to_pylist()
+        get = self.cache.get
+        found = [get(word) for word in distinct]
+        if None in found:
+            self.learn({word for word, ids in zip(distinct, found, strict=True) if ids is None})
+            cache = self.cache
+            found = [cache[word] for word in distinct]
+        column = pa.array(found, pa.binary()).take(coded.indices)
+        _, offsets, data = column.buffers()
+        if not len(column):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        return np.frombuffer(data, "<u4"), np.frombuffer(offsets, np.int32) // 4
+
     def learn(self, words: set) -> None:
         """Put words into the cache: from the older one, or a known stem and marks, or anew."""
-        older, cache = self.older, self.cache
+        older, cache, spaced = self.older, self.cache, self.kind == "spaced"
+        ends = frozenset(MARKS) if spaced else frozenset(MARKS.encode())
         fresh, made = set(), []
         for word in words:
             if word in older:
                 cache[word] = older[word]
-                continue
-            plain = word if self.kind == "spaced" else word.decode()
-            stem = plain.rstrip(MARKS)
-            last = stem[-1:]  # a letter that is still one letter in lower case
-            if len(stem) < len(plain) and last.isalpha() and len(last.lower()) == 1:
-                key = stem if self.kind == "spaced" else stem.encode()
-                made.append((word, key, plain[len(stem):]))
-                if key not in cache:
-                    if key in older:
-                        cache[key] = older[key]
-                    else:
-                        fresh.add(key)
+            elif word and word[-1] in ends:
+                plain = word if spaced else word.decode()
+                stem = plain.rstrip(MARKS)
+                last = stem[-1:]  # a letter that is still one letter in lower case
+                if last.isalpha() and len(last.lower()) == 1:
+                    key = stem if spaced else stem.encode()
+                    made.append((word, key, plain[len(stem):]))
+                    if key not in cache:
+                        if key in older:
+                            cache[key] = older[key]
+                        else:
+                            fresh.add(key)
+                else:
+                    fresh.add(word)
             else:
                 fresh.add(word)
         self.add(list(fresh))
@@ -133,32 +160,35 @@ class Encoder:
     def add(self, words: list) -> None:
         """Encode new words, many in one call; token lengths tell where each one ends."""
         if self.kind == "dropped":
-            units = {word: word.decode() for word in words}
-            alike = [w for w, u in units.items() if u.isascii() or (
+            texts = [word.decode() for word in words]
+            alike = [i for i, u in enumerate(texts) if u.isascii() or (
                 unicodedata.is_normalized("NFC", u) and u == u.lower() and len(u.split()) == 1)]
+            if len(alike) < len(words):
+                for i in set(range(len(words))).difference(alike):
+                    self.cache[words[i]] = self.whole(texts[i])
+                words, texts = [words[i] for i in alike], [texts[i] for i in alike]
             joint = " "
         else:
-            units = {word: word if word[:1] == "\n" else " " + word for word in words}
-            alike, joint = words, ""
-        for first in range(0, len(alike), CHUNK):
-            keys = alike[first:first + CHUNK]
-            text = joint.join([units[key] for key in keys])
-            ids = np.array(
-                self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(units[key].encode()) for key in keys])
+            texts = [word if word[:1] == "\n" else " " + word for word in words]
+            joint = ""
+        sizes = pc.binary_length(pa.array(texts, pa.string())).to_numpy(
+            zero_copy_only=False).astype(np.int64)
+        for first in range(0, len(words), CHUNK):
+            keys, units = words[first:first + CHUNK], texts[first:first + CHUNK]
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [joint.join(units)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(sizes[first:first + CHUNK])
             reached = np.cumsum(self.bytes_of[ids])
             at = np.searchsorted(reached, ends)
             if not len(reached) or at[-1] != len(reached) - 1 or not np.array_equal(
                     reached[at], ends):
-                for key in keys:
-                    self.cache[key] = self.whole(units[key])
+                for key, unit in zip(keys, units, strict=True):
+                    self.cache[key] = self.whole(unit)
                 continue
             data, start = ids.tobytes(), 0
             for key, end in zip(keys, ((at + 1) * 4).tolist(), strict=True):
                 self.cache[key] = data[start:end]
                 start = end
-        for key in set(words).difference(alike):
-            self.cache[key] = self.whole(units[key])
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import encoded, map_arrow, map_batches
+from ticketloom.llm.common import ENCODED_BYTES, encoded, map_arrow, map_batches
 from ticketloom.llm.encode import encoder
 from ticketloom.session import materialise
 
@@ -73,7 +73,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    return map_batches(pair, step, schema)
+    return map_batches(pair, step, schema, max_bytes=ENCODED_BYTES)
 
 
 def two_fit_plan(histogram: dict[int, int], capacity: int) -> np.ndarray:

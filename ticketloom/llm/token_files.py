@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import encoded, map_arrow, map_batches, slices
+from ticketloom.llm.common import ENCODED_BYTES, encoded, map_arrow, map_batches, slices
 from ticketloom.llm.encode import encoder
 from ticketloom.session import materialise, new_folder
 
@@ -95,7 +95,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
             [batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     schema = f"doc_id {dict(pair.dtypes)['doc_id']}, ids binary"
-    return materialise(map_batches(pair, step, schema), "token-ids"), kind, size
+    return materialise(map_batches(pair, step, schema, max_bytes=ENCODED_BYTES), "token-ids"), kind, size
 
 
 def count_ids(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
