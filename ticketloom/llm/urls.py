@@ -8,7 +8,7 @@ listed URLs removes the false positives.
 
 Edge cases: a null URL, or one without ://, has an empty host and path, no rule and
 verdict allow; a null in the list is ignored, repeated ones count once; an empty list blocks
-nothing; repeated pages keep their rows; the result has its own columns only.
+nothing, nor does an empty key; repeated pages keep their rows; the result has its own columns only.
 """
 
 from __future__ import annotations
@@ -83,16 +83,21 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     in_block = F.lit(True)
     for i, mask in enumerate(masks(F.col("key"))):
         in_block = in_block & (F.col(f"w{i}").bitwiseAND(mask) == mask)
-    # A page that the filter clears gets a key that no listed URL has: none starts so.
-    maybe = found.withColumn("block", block_of(F.col("key"), blocks)).join(
+    # Pages without a URL are in no list; they would all meet in one block.
+    named = F.col("key") != ""
+    seen = found.where(named).withColumn("block", block_of(F.col("key"), blocks)).join(
         bloom_table(keys, blocks), "block", "left").select(
-        "page_id", "host", "path", F.when(F.coalesce(in_block, F.lit(False)), F.col("key"))
-        .otherwise(F.concat(F.lit("!"), "key")).alias("key"))
+        "page_id", "host", "path", "key", F.coalesce(in_block, F.lit(False)).alias("possible"))
     exact = keys.withColumn("listed", F.lit(True)).hint("shuffle_hash")
+    hits = seen.where("possible").join(exact, "key", "left").select(
+        "page_id", "host", "path", F.coalesce("listed", F.lit(False)).alias("listed"))
+    # What the filter clears never meets the list.
+    cleared = seen.where("not possible").unionByName(
+        found.where(~named), allowMissingColumns=True).select(
+        "page_id", "host", "path", F.lit(False).alias("listed"))
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    return maybe.join(exact, "key", "left").select(
-        "page_id", "host", "path", F.coalesce("listed", F.lit(False)).alias("listed"),
-        rule.alias("r")).select(
+    return hits.unionByName(cleared).select(
+        "page_id", "host", "path", "listed", rule.alias("r")).select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce("r.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias(
             "verdict"), "listed")
