@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.session import materialise
@@ -17,6 +17,8 @@ from ticketloom.session import materialise
 SLICE_BYTES = 2 << 20
 #: The same where texts are encoded: the more text, the more often a word repeats in it.
 ENCODED_BYTES = 4 << 20
+#: Bits a key in a filter of keys, and the most that such a filter may hold (8 MB).
+BITS_PER_KEY, MIN_BITS, MAX_BITS = 32, 1 << 16, 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,3 +82,25 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = pair.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialise(placed.select(
         F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
+
+
+def key_bits(keys: DataFrame, key: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """One row with an array of bits, those of the hashes of the keys set, and its test.
+
+    The test names the column to look up in a row that carries `bits`; it is true for every key
+    and for few other values. The array grows with the number of keys up to MAX_BITS, so it
+    may be broadcast; with more keys it lets more values pass, and never fewer.
+    """
+    size = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+
+    def bit(name: str) -> str:
+        return f"pmod(xxhash64({name}), {size}L)"
+
+    own = keys.select(F.expr(f"cast({bit(key)} div 64 as int)").alias("at"),
+                      F.expr(f"shiftleft(1L, cast({bit(key)} % 64 as int))").alias("bits"))
+    blank = keys.sparkSession.range(size // 64).select(
+        F.col("id").cast("int").alias("at"), F.lit(0).cast("bigint").alias("bits"))
+    table_ = own.union(blank).groupBy("at").agg(F.bit_or("bits").alias("bits")).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda s: s["bits"]).alias("bits"))
+    return table_, lambda name: F.expr(
+        f"(shiftright(get(bits, cast({bit(name)} div 64 as int)), cast({bit(name)} % 64 as int)) & 1) = 1")

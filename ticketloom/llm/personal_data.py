@@ -5,9 +5,9 @@ bootstrapped extraction:
 
   the two words before an entity are a lexical pattern of its kind, # for each word that holds
   a digit or @; they are built alike for entities and for other instances;
-  every token with a digit in it is an instance, known or not yet known, and behind patterns
-  that count also every run up to the next blank where no token starts, and joined digit groups
-  for kinds whose entities hold blanks;
+  every token with a digit in it is an instance, known or not yet known; behind patterns that
+  count it gives way to the whole run up to the next blank, and to joined digit groups for
+  kinds whose entities hold blanks;
   patterns and instances form a graph, an edge for each pair that occurs;
   in each of ROUNDS rounds a pattern scores the mean of its instances' scores for a kind
   (known entities have 1), and counts if it scores at least MIN_SCORE and its instances'
@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.llm.common import key_bits
 from ticketloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -50,9 +51,11 @@ TOKEN_KIND, RUN_KIND, JOINED_KIND = range(len(KINDS), len(KINDS) + 3)
 JOINED = r"^([(+]*+[0-9][0-9\x20().-]*+)"
 MIN_JOINED = 7
 END = r"(?<![\p{P}\p{S}])[\p{P}\p{S}]++$"
-#: Bits of the filter that a text's words pass before anything is shuffled.
-FILTER_BITS = 1 << 20
-BIT = f"pmod(xxhash64(pattern), {FILTER_BITS}L)"
+#: Texts are searched in blocks of so many characters and on to where no instance goes across.
+BLOCK_CHARS = 2000
+BLOCK = r"(?s)(.{1,%d}+.*?(?:(?<=\s)(?=[^\s0-9().-])|\z))"
+#: Characters in a piece of a text that is masked.
+PIECE = 1024
 MARK, NO_MARK = "\x01", "\x02"
 #: A word of a context ends before what follows blanks, and before letters that follow punctuation.
 CUT = r"(?<=\s)(?=\S)|(?<=[^\s\p{L}0-9@._%+-])(?=[\p{L}0-9@._%+-])"
@@ -99,6 +102,11 @@ def context_word(word: Column) -> Column:
     return F.when(word.rlike("[0-9@]"), "#").otherwise(F.lower(F.rtrim(word, F.lit(" \t\n\x0b\f\r"))))
 
 
+def named_words(words: Column) -> Column:
+    """What the words of a text are called in patterns; blanks alone are none."""
+    return F.transform(F.filter(words, lambda word: word.rlike(r"\S")), context_word)
+
+
 def last_words(words: Column) -> Column:
     return F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words)
 
@@ -145,28 +153,21 @@ def intervals(docs: DataFrame) -> DataFrame:
 
 def free_tokens(found: DataFrame) -> DataFrame:
     """Entities, and those other instances that overlap none."""
-    order = Window.partitionBy(*KEY).orderBy("start", "end", "kind")
+    # Two running values, one from each end: a frame that ends at the last row is filled anew
+    # for every row.
+    sides = Window.partitionBy(*KEY)
+    order = sides.orderBy("start", "end", "kind")
+    back = sides.orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
     entity = F.col("kind") < TOKEN_KIND
     reach = F.max(F.when(entity, F.col("end"))).over(
         order.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.min(F.when(entity, F.col("start"))).over(
-        order.rowsBetween(1, Window.unboundedFollowing))
+        back.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("reach", reach).withColumn("ahead", ahead).where(
         entity | ((F.coalesce("reach", F.lit(0)) <= F.col("start"))
                   & (F.coalesce("ahead", F.col("end")) >= F.col("end")))).drop("reach", "ahead")
 
 
-def pattern_bits(patterns: DataFrame) -> DataFrame:
-    """One row: an array of FILTER_BITS bits, those of the hashes of the patterns set."""
-    spark = patterns.sparkSession
-    own = patterns.select(F.expr(f"cast({BIT} div 64 as int)").alias("at"),
-                          F.expr(f"shiftleft(1L, cast({BIT} % 64 as int))").alias("bits"))
-    blank = spark.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("at"),
-                                                  F.lit(0).cast("bigint").alias("bits"))
-    return own.union(blank).groupBy("at").agg(F.bit_or("bits").alias("bits")).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda s: s["bits"]).alias("bits"))
-
-
 def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """As `intervals`, the runs and joined digit groups that stand behind the patterns.
 
@@ -174,32 +175,44 @@ def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     word of every text is compared; only those that pass the filter leave their task.
     """
     text = F.replace(F.col("text"), F.lit(MARK), F.lit(NO_MARK))
+    bits, passes = key_bits(patterns, "pattern")
     cut = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", F.xxhash64("text").alias("digest"), text.alias("text"),
-        F.split(text, CUT).alias("words"))
-    # Blanks at the text's start are a word of their own, which no pattern names.
+        "doc_id", F.xxhash64("text").alias("digest"), (~F.col("text").rlike("[0-9@]")).alias("plain"),
+        F.regexp_extract_all(text, F.lit(BLOCK % BLOCK_CHARS), F.lit(1)).alias("blocks"))
+    # Before the text stand two ^; blanks at its start are a word of their own, which no pattern names.
+    front, none = F.array(F.lit("^"), F.lit("^")), F.array().cast("array<string>")
+    tails = F.transform("blocks", lambda block, i: last_words(F.concat(
+        F.when(i == 0, front).otherwise(none), named_words(F.split(block, CUT)))))
+    starts = F.aggregate("blocks", F.array(F.lit(0).cast("bigint")), lambda done, block: F.array_append(
+        done, F.element_at(done, -1) + F.length(block)))
+    placed = cut.select(*KEY, "plain", "blocks", tails.alias("tails"), starts.alias("starts")).select(
+        *KEY, "plain", F.explode(F.arrays_zip(
+            F.col("blocks").alias("block"), F.col("starts").alias("from"),
+            F.concat(F.array(front), F.col("tails")).alias("last"),
+            F.concat(F.array(none, front), F.col("tails")).alias("earlier"))).alias("b")).where(
+        F.col("b.block").isNotNull()).select(*KEY, "plain", "b.*").withColumn(
+        "words", F.split("block", CUT))
     first = F.coalesce(F.get("words", F.lit(0)).rlike(r"^\s*$").cast("int"), F.lit(0))
-    cut = cut.withColumn("first", first).withColumn("named", F.concat(
-        F.array(F.lit("^"), F.lit("^")), F.transform(F.slice(
-            "words", F.col("first") + 1, F.size("words")), context_word)))
+    named = placed.withColumn("first", first).withColumn("named", F.concat(
+        last_words(F.concat("earlier", "last")), named_words(F.col("words"))))
     pairs = F.arrays_zip(F.col("named").alias("a"), F.slice("named", 2, F.size("named")).alias("b"))
-    each = cut.crossJoin(F.broadcast(pattern_bits(patterns))).select(
-        "doc_id", "digest", "text", "words", "bits", "first",
+    each = named.crossJoin(F.broadcast(bits)).select(
+        *KEY, "plain", "block", "from", "words", "bits", "first",
         F.posexplode_outer(pairs).alias("at", "pair")).withColumn(
         "pattern", F.concat_ws(" ", F.col("pair.a"), F.col("pair.b")))
-    passes = F.expr(f"(shiftright(get(bits, cast({BIT} div 64 as int)), cast({BIT} % 64 as int)) & 1) = 1")
     place = F.col("at") + F.col("first")
-    start = F.length(F.array_join(F.slice("words", 1, place), ""))
-    hits = each.where(passes & (place < F.size("words"))).select(
-        *KEY, "pattern", start.alias("start"), "text").withColumn(
-        "rest", F.substr("text", F.col("start") + 1, F.length("text")))
+    inside = F.length(F.array_join(F.slice("words", 1, place), ""))
+    hits = each.where(passes("pattern") & (place < F.size("words"))).select(
+        *KEY, "plain", "pattern", "block", "from", inside.alias("inside")).select(
+        *KEY, "plain", "pattern", (F.col("from") + F.col("inside")).alias("start"),
+        F.substr("block", F.col("inside") + 1, F.length("block")).alias("rest"))
     groups = F.regexp_replace(F.get(F.split(F.regexp_extract("rest", JOINED, 1), r"\. "), F.lit(0)),
                               "(?<=[0-9])[^0-9]++$", "")
     run = F.regexp_replace(F.regexp_extract("rest", r"^(\S++)", 1), END, "")
-    starts = F.col("rest").rlike(r"^[\p{L}0-9@._%+-]")
+    begins = F.col("rest").rlike(r"^[\p{L}0-9@._%+-]")
     short = hits.select(
-        *KEY, "pattern", "start", groups.alias("groups"), F.when(starts, run).alias("run"),
-        (~F.col("text").rlike("[0-9@]")).alias("plain")).join(patterns, "pattern")
+        *KEY, "pattern", "start", groups.alias("groups"), F.when(begins, run).alias("run"),
+        "plain").join(patterns, "pattern")
     joins = F.col("joined") & F.col("groups").contains(" ") & (
         F.length(digits_of(F.col("groups"))) >= MIN_JOINED)
     value = F.when(joins, F.col("groups")).otherwise(F.col("run"))
@@ -210,12 +223,11 @@ def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def one_a_place(found: DataFrame) -> DataFrame:
-    """Entities, and of the other instances that start at a place joined groups before a token
-    before a run."""
-    rank = F.element_at(F.array(*[F.lit(r) for r in (2, 1, 3)]), F.col("kind") - TOKEN_KIND + 1)
-    other = found.where(F.col("kind") >= TOKEN_KIND).withColumn("rank", rank)
-    columns = [c for c in found.columns if c not in (*KEY, "start")]
-    best = other.groupBy(*KEY, "start").agg(F.max(F.struct("rank", *columns)).alias("best"))
+    """Entities, and of the other instances that start at a place joined groups before a run
+    before a token: the larger kind, as a run holds the token that it starts with."""
+    other = found.where(F.col("kind") >= TOKEN_KIND)
+    columns = ["kind", *[c for c in found.columns if c not in (*KEY, "start", "kind")]]
+    best = other.groupBy(*KEY, "start").agg(F.max(F.struct(*columns)).alias("best"))
     return found.where(F.col("kind") < TOKEN_KIND).unionByName(best.select(
         *KEY, "start", *[F.col(f"best.{c}").alias(c) for c in columns]))
 
@@ -275,10 +287,10 @@ def instances(docs: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, spans, plain): the spans (kind, start, end, base) of texts that have any.
+    """(doc_id, digest, spans, plain): the spans (kind, start, end, base, done) of texts that have any.
 
-    kind is a number in KINDS; spans are sorted by it, then by start. plain: the text holds no
-    digit and no @.
+    kind is a number in KINDS; spans are sorted by it, then by start. done: where the spans that
+    start earlier end (0 if none). plain: the text holds no digit and no @.
     """
     pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = instances(pair)
@@ -290,8 +302,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         *KEY, "kind", "start", "end", F.lit(False).alias("base"), "plain")
     base = found.where(F.col("kind") < TOKEN_KIND).select(
         *KEY, "kind", "start", "end", F.lit(True).alias("base"), "plain")
-    return base.unionByName(more).groupBy(*KEY).agg(F.sort_array(F.collect_list(
-        F.struct("kind", "start", "end", "base"))).alias("spans"), F.max("plain").alias("plain"))
+    earlier = Window.partitionBy(*KEY).orderBy("start", "end", "kind").rowsBetween(
+        Window.unboundedPreceding, -1)
+    done = F.coalesce(F.max("end").over(earlier), F.lit(0)).cast("bigint")
+    return base.unionByName(more).withColumn("done", done).groupBy(*KEY).agg(F.sort_array(
+        F.collect_list(F.struct("kind", "start", "end", "base", "done"))).alias("spans"),
+        F.max("plain").alias("plain"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, digest: Column,
@@ -306,7 +322,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, digest: Column,
     same = F.col(id_col).eqNullSafe(F.col("_pii_id")) & (digest == F.col("_pii_digest"))
     return docs.join(right, same, "left").drop("_pii_id", "_pii_digest").withColumn(
         "_pii_spans", F.coalesce("_pii_spans", F.expr(
-            "cast(array() as array<struct<kind: int, start: bigint, end: bigint, base: boolean>>)")))
+            "cast(array() as array<struct<kind: int, start: bigint, end: bigint, base: boolean, done: bigint>>)")))
 
 
 def listed(spans: Column) -> Column:
@@ -336,18 +352,27 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; of overlapping spans
     the first gives the name, and all their characters go."""
     names = F.array(*[F.lit(f"<{kind.upper()}>") for kind in KINDS])
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    # (characters of the text that are done, the text so far)
-    begin = F.struct(F.lit(0).cast("bigint").alias("done"), F.lit("").alias("out"))
-    folded = F.aggregate(ordered, begin, lambda a, s: F.when(
-        s["start"] >= a["done"], F.struct(s["end"].alias("done"), F.concat(
-            a["out"], F.substr(text, (a["done"] + 1).cast("int"),
-                               (s["start"] - a["done"]).cast("int")),
-            names[s["kind"]]).alias("out"))).otherwise(F.struct(
-                F.greatest(a["done"], s["end"]).alias("done"), a["out"].alias("out"))))
+    # A text is cut into pieces once, so that no span counts its way through the whole of it.
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1)).alias("pieces"),
+                   F.array_sort(F.transform(spans, lambda s: F.struct(
+                       s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
+                       s["done"].alias("done")))).alias("spans"))
+
+    def part(pieces: Column, first: Column, last: Column) -> Column:
+        at = F.floor(first / PIECE).cast("int")
+        whole = F.slice(pieces, at + 1, F.floor(last / PIECE).cast("int") - at + 1)
+        return F.substr(F.array_join(whole, ""), (first % PIECE + 1).cast("int"),
+                        (last - first).cast("int"))
+
+    def filled(own: Column) -> Column:
+        kept = F.filter(own["spans"], lambda s: s["start"] >= s["done"])
+        return F.array_join(F.transform(kept, lambda s: F.concat(
+            part(own["pieces"], s["done"], s["start"]), names[s["kind"]])), "")
+
+    # An array of one, as a lambda's variable is computed once and a column inside a lambda each time.
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(
-        folded["out"], F.substr(text, (folded["done"] + 1).cast("int"))))
+        F.get(F.transform(F.array(cut), filled), F.lit(0)), F.substr(text, (end + 1).cast("int"))))
 
 
 def masked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
