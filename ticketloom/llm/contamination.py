@@ -10,9 +10,11 @@ length bounds), and there the words are compared exactly.
 All steps are built-in functions. A document's words are exploded, joined with the prefix
 words and compared in one compiled stage, so nothing but hits is shuffled, and the array of
 a document's words is not copied for each of them. (A lambda would end that: it is not
-compiled, and each exploded row would carry a copy of the whole document.) The windows are
-broadcast in blocks of at most BLOCK_WINDOWS rows: the join side is bounded, and a larger
-benchmark takes more passes over the documents, never a larger broadcast.
+compiled, and each exploded row would carry a copy of the whole document.) At most BLOCK_WINDOWS
+windows are broadcast. Of a larger benchmark a bit array of bounded size is, which lets the
+prefix words pass and few others; these are written with the words around them, and meet the
+windows in a join by word that splits hot words. The documents are searched once either way.
+Likewise the benchmark's words are broadcast for their counts only if they are few.
 
 Edge cases: null and empty texts have no words and are clean; an item without words has no
 window; a null item id counts for hits but is not listed; equal item ids are one item;
@@ -22,11 +24,11 @@ only; empty tables give clean documents, or no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.llm.common import key_bits
+from ticketloom.operators.skew import fits_broadcast, spread_join
 from ticketloom.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,10 +69,13 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """
     tokens = windows.select(F.posexplode("words").alias("offset", "word"), "words").select(
         F.lower("word").alias("token"), "offset", "words")
-    asked = tokens.select("token").distinct()
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(
-        F.lower("word").alias("token")).join(F.broadcast(asked), "token").groupBy("token").agg(
-        F.count("*").alias("n"))
+    asked = materialise(tokens.select("token").distinct(), "asked-words")
+    every = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(
+        F.lower("word").alias("token"))
+    # Too many for a broadcast: all words are counted, and their counts join by shuffle.
+    counts = (every.join(F.broadcast(asked), "token").groupBy("token").agg(F.count("*").alias("n"))
+              if fits_broadcast(asked) else
+              every.groupBy("token").agg(F.count("*").alias("n")).join(asked, "token"))
     rarest = tokens.join(counts, "token", "left").groupBy("words").agg(F.min(F.struct(
         F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("rare"))
     return rarest.join(windows, "words").select(
@@ -78,22 +83,53 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
         joined(F.col("words")).alias("window"), F.size("words").alias("size"), "items")
 
 
-def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_words, start, size, items) of the windows in documents, and one
-    row with a null start for each document; docs has (doc_id, text)."""
-    spread = docs.select(
+def spread_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, all, n_words, at, word): a row for each word, and one for each document's
+    end; docs has (doc_id, text)."""
+    return docs.select(
         "doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("all")).select(
         "doc_id", "digest", "all", F.size("all").alias("n_words"),
         F.posexplode(F.array_append("all", F.lit(END))).alias("at", "word"))
+
+
+def matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, digest, n_words, start, size, items) of the windows in documents, and one
+    row with a null start for each document; docs has (doc_id, text)."""
+    end = windows.sparkSession.range(1).select(
+        F.lit(END).alias("token"), F.lit(None).cast("int").alias("offset"),
+        F.lit(None).cast("string").alias("window"), F.lit(None).cast("int").alias("size"),
+        F.lit(None).cast("array<string>").alias("items"))
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
     same = joined(F.slice("all", F.greatest(start, F.lit(0)) + 1, F.col("size"))) == F.col("window")
-    return spread.join(F.broadcast(windows), F.lower("word") == F.col("token")).where(
+    return spread_words(docs).join(
+        F.broadcast(windows.unionByName(end)), F.lower("word") == F.col("token")).where(
         F.col("window").isNull() | (fits & same)).select(
         "doc_id", "digest", "n_words", F.when(F.col("window").isNotNull(), start).alias("start"),
         "size", "items")
 
 
+def matches_by_shuffle(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """As `matches`, for more windows of at most `size` words than may be broadcast."""
+    bits, may_be = key_bits(materialise(windows.select("token").distinct(), "prefix-words"), "token")
+    token, is_end = F.lower("word"), F.col("word") == END
+    first = F.greatest(F.col("at") - (size - 1), F.lit(0))
+    places = materialise(spread_words(docs).withColumn("token", token).crossJoin(
+        F.broadcast(bits)).where(is_end | may_be("token")).select(
+        "doc_id", "digest", "n_words", "at", "token", first.alias("first"),
+        F.when(~is_end, F.slice("all", first + 1, F.lit(2 * size - 1))).alias("near")), "word-places")
+    start = F.col("at") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    same = joined(F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("size"))
+                  ) == F.col("window")
+    hits = spread_join(places.where(F.col("token") != END), windows, ["token"], "token",
+                       salt_by=["doc_id", "digest", "at"], side_salt_by=["window"]).where(
+        fits & same).select("doc_id", "digest", "n_words", start.alias("start"), "size", "items")
+    return hits.unionByName(places.where(F.col("token") == END).select(
+        "doc_id", "digest", "n_words", F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items")))
+
+
 def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
                text_col: str = "text", item_id: str = "item_id",
                item_text: str = "text") -> DataFrame:
@@ -106,20 +142,11 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: st
     pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     windows = materialise(item_windows(items, size, item_id, item_text), "windows")
     made = materialise(prefixes(windows, pair), "prefixes")
-    n = made.count()
-    blocks = max(1, -(-n // BLOCK_WINDOWS))
-    end = made.sparkSession.range(1).select(
-        F.lit(END).alias("token"), F.lit(None).cast("int").alias("offset"),
-        F.lit(None).cast("string").alias("window"), F.lit(None).cast("int").alias("size"),
-        F.lit(None).cast("array<string>").alias("items"))
-    found = []
-    for block in range(blocks):
-        part = made if blocks == 1 else made.where(
-            F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        found.append(matches(pair, part.unionByName(end) if not block else part))
+    found = (matches(pair, made) if made.count() <= BLOCK_WINDOWS
+             else matches_by_shuffle(pair, made, size))
     span = F.when(F.col("start").isNotNull(), F.struct(
         "start", (F.col("start") + F.col("size")).alias("end")))
-    return reduce(DataFrame.union, found).groupBy("doc_id", "digest", "n_words").agg(
+    return found.groupBy("doc_id", "digest", "n_words").agg(
         F.sum(F.when(F.col("start").isNull(), 1)).alias("copies"),
         F.sort_array(F.collect_set(span)).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")).select(
