@@ -107,8 +107,8 @@ def named_words(words: Column) -> Column:
     return F.transform(F.filter(words, lambda word: word.rlike(r"\S")), context_word)
 
 
-def last_words(words: Column) -> Column:
-    return F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words)
+def last_words(words: Column, n: int = 2) -> Column:
+    return F.when(F.size(words) > n, F.slice(words, -n, n)).otherwise(words)
 
 
 def intervals(docs: DataFrame) -> DataFrame:
@@ -182,11 +182,11 @@ def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     # Before the text stand two ^; blanks at its start are a word of their own, which no pattern names.
     front, none = F.array(F.lit("^"), F.lit("^")), F.array().cast("array<string>")
     tails = F.transform("blocks", lambda block, i: last_words(F.concat(
-        F.when(i == 0, front).otherwise(none), named_words(F.split(block, CUT)))))
+        F.when(i == 0, front).otherwise(none), named_words(last_words(F.split(block, CUT), 3)))))
     starts = F.aggregate("blocks", F.array(F.lit(0).cast("bigint")), lambda done, block: F.array_append(
         done, F.element_at(done, -1) + F.length(block)))
     placed = cut.select(*KEY, "plain", "blocks", tails.alias("tails"), starts.alias("starts")).select(
-        *KEY, "plain", F.explode(F.arrays_zip(
+        *KEY, "plain", F.explode_outer(F.arrays_zip(
             F.col("blocks").alias("block"), F.col("starts").alias("from"),
             F.concat(F.array(front), F.col("tails")).alias("last"),
             F.concat(F.array(none, front), F.col("tails")).alias("earlier"))).alias("b")).where(
