@@ -108,7 +108,8 @@ def named_words(words: Column) -> Column:
 
 
 def last_words(words: Column, n: int = 2) -> Column:
-    return F.when(F.size(words) > n, F.slice(words, -n, n)).otherwise(words)
+    """Names its argument once: in a lambda each mention would be computed by itself."""
+    return F.reverse(F.slice(F.reverse(words), 1, n))
 
 
 def intervals(docs: DataFrame) -> DataFrame:
@@ -194,7 +195,8 @@ def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         "words", F.split("block", CUT))
     first = F.coalesce(F.get("words", F.lit(0)).rlike(r"^\s*$").cast("int"), F.lit(0))
     named = placed.withColumn("first", first).withColumn("named", F.concat(
-        last_words(F.concat("earlier", "last")), named_words(F.col("words"))))
+        last_words(F.concat("earlier", "last")), F.transform(F.slice(
+            "words", F.col("first") + 1, F.size("words")), context_word)))
     pairs = F.arrays_zip(F.col("named").alias("a"), F.slice("named", 2, F.size("named")).alias("b"))
     each = named.crossJoin(F.broadcast(bits)).select(
         *KEY, "plain", "block", "from", "words", "bits", "first",
