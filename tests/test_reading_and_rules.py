@@ -45,6 +45,22 @@ def test_the_empty_keyword_fits_every_text(spark):
     assert {(r.rule_ord, r.label) for r in none} == {(None, "none")}
 
 
+def test_texts_with_a_rule_do_not_meet_the_later_ones(spark, monkeypatch):
+    monkeypatch.setattr(rule_index, "FIRST_WAVE", 4)
+    monkeypatch.setattr(rule_index, "GROWTH", 3)
+    met, fitting = [], rule_index.fitting
+    monkeypatch.setattr(rule_index, "fitting", lambda texts, keyed, sizes: met.append(
+        texts.count()) or fitting(texts, keyed, sizes))
+    rules = [(i // 2, f"word {i}!", f"l{i}") for i in range(60)] + [(None, "nobody", "n")]
+    table = spark.createDataFrame(rules, "rule_ord long, keyword string, label string")
+    texts = [" ".join(f"Word {(i * k) % 60}!" for k in (1, 7, 11)) for i in range(1, 90)] + ["none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.rule_ord, r.label)
+           for r in rule_index.first_rules(df, "text", table, "none").collect()}
+    assert got == {i: plain_first(text, rules[:-1]) for i, text in enumerate(texts)}
+    assert len(met) > 2 and met == sorted(met, reverse=True) and met[-1] < met[0]
+
+
 def test_ten_thousand_rules_are_looked_at_behind_their_rarest_piece(spark):
     words = spark.range(10_000).select(F.col("id").alias("rule_ord"), F.concat(
         F.lit("error code "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("keyword"),
