@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.operators import attempts, rule_index
+from ticketloom.plans import queries
 from ticketloom.sources import tables
 from ticketloom.sources.json_arrays import read_array, records
 
@@ -109,6 +110,19 @@ def test_arrays_in_splits_equal_one_task(spark, tmp_path, small_splits, indent):
     assert [r[1] for r in numbers] == [list(range(150))] * 2
 
 
+def test_the_written_array_is_one_over_several_files(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "new_folder", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        read = queries.json_array_read(spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "article-array").glob("part-*"))
+    assert len(files) > 1
+    whole = json.loads("".join(file.read_text(encoding="utf-8") for file in files))
+    assert [row["id"] for row in whole] == sorted(row.id for row in read.collect())
+
+
 def test_empty_arrays(spark, tmp_path):
     (tmp_path / "a.json").write_text("[]")
     (tmp_path / "b.json").write_text("[ {} , {\"id\": 3}]\n")
