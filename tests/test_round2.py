@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ticketloom.operators import feedback, profile
 from ticketloom.operators.skew import running_number
 from ticketloom.sources import schemas, tables
+from ticketloom.streaming import upserts
 
 
 def test_append_returns_what_it_refuses(spark, tmp_path):
@@ -53,6 +54,25 @@ def test_order_of_feedback_batches_does_not_matter(spark):
         assert sorted(table.collect()) == wanted
 
 
+def test_days_are_written_once_over_the_table_they_are_read_from(spark, tmp_path, monkeypatch):
+    written, materialise = [], upserts.materialise
+    monkeypatch.setattr(upserts, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    path = str(tmp_path / "t")
+    spark.range(3000).selectExpr("id", "0 AS n", "concat('d', id % 5) AS day").write.partitionBy(
+        "day").parquet(path)
+    kept = {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "day=d0").glob("*.parquet")}
+    days = spark.createDataFrame([("d1",), ("d3",)], "day string")
+    for _ in range(2):
+        stored = spark.read.parquet(path)
+        total = stored.groupBy("day").agg(F.sum("n").alias("_all"))
+        upserts.overwrite_days(stored.join(total, "day").withColumn(
+            "n", F.col("n") + F.col("_all").cast("int") + 1).drop("_all"), path, days, "day")
+    got = {(r.day, r.n): r["count"] for r in spark.read.parquet(path).groupBy("day", "n").count().collect()}
+    assert got == {("d0", 0): 600, ("d1", 602): 600, ("d2", 0): 600, ("d3", 602): 600, ("d4", 0): 600}
+    assert kept == {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "day=d0").glob("*.parquet")}
+    assert written == []
+
+
 def test_sparse_ids_are_numbered(spark):
     rng = random.Random(3)
     ids = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(3000)})
