@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept per worker in each of two generations, about 60 MB each.
-CACHE_WORDS = 250_000
+#: Words kept per worker, about 30 bytes each.
+CACHE_WORDS = 600_000
 #: Marks at the end of a word that are a pre-token by themselves, after a letter.
 MARKS = ".,;:!?%*$#&|)"
 CHUNK = 500
@@ -50,8 +50,8 @@ class Encoder:
             self.bytes_of[number] = len(token.removesuffix(suffix) if suffix else token)
         self.size = len(self.bytes_of)
         self.kind = self._kind(made)
-        self.cache: dict = {}
-        self.older: dict = {}
+        self.words = pa.array([], pa.string())
+        self.ids = pa.array([], pa.binary())
         self.marks: dict = {}
 
     @staticmethod
@@ -77,8 +77,6 @@ class Encoder:
         """The ids of each UTF-8 text."""
         if self.kind == "whole":
             return [self.whole(text.decode()) for text in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
         out = [b""] * len(texts)
         if self.kind == "dropped":
             regular, lead = range(len(texts)), 0
@@ -109,86 +107,118 @@ class Encoder:
         Each distinct word is looked up once; the rest is one gathering of ids.
         """
         coded = words.dictionary_encode()
-        distinct = coded.dictionary
-        if self.kind == "dropped":
-            distinct = distinct.cast(pa.binary())
-        distinct = distinct.to_pylist()
-        get = self.cache.get
-        found = [get(word) for word in distinct]
-        if None in found:
-            self.learn({word for word, ids in zip(distinct, found, strict=True) if ids is None})
-            cache = self.cache
-            found = [cache[word] for word in distinct]
-        column = pa.array(found, pa.binary()).take(coded.indices)
-        _, offsets, data = column.buffers()
-        if not len(column):
+        if not len(coded):
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
-        return np.frombuffer(data, "<u4"), np.frombuffer(offsets, np.int32) // 4
-
-    def learn(self, words: set) -> None:
-        """Put words into the cache: from the older one, or a known stem and marks, or anew."""
-        older, cache, spaced = self.older, self.cache, self.kind == "spaced"
-        ends = frozenset(MARKS) if spaced else frozenset(MARKS.encode())
-        fresh, made = set(), []
-        for word in words:
-            if word in older:
-                cache[word] = older[word]
-            elif word and word[-1] in ends:
-                plain = word if spaced else word.decode()
-                stem = plain.rstrip(MARKS)
-                last = stem[-1:]  # a letter that is still one letter in lower case
-                if last.isalpha() and len(last.lower()) == 1:
-                    key = stem if spaced else stem.encode()
-                    made.append((word, key, plain[len(stem):]))
-                    if key not in cache:
-                        if key in older:
-                            cache[key] = older[key]
-                        else:
-                            fresh.add(key)
-                else:
-                    fresh.add(word)
+        column = self.ids_of_distinct(coded.dictionary).take(coded.indices)
+        _, offsets, data = column.buffers()
+        ids = np.frombuffer(data, "<u4") if data is not None and data.size else np.empty(0, "<u4")
+        return ids, np.frombuffer(offsets, np.int32)[:len(column) + 1] // 4
+
+    def ids_of_distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of each word: those of a stem that ends in a letter and of its marks, or its own."""
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        sizes = sizes_of(words)
+        cut = sizes - sizes_of(stems)
+        ends = np.flatnonzero(cut)
+        last = pc.utf8_slice_codeunits(stems.take(pa.array(ends)), -1).dictionary_encode()
+        # a letter that is still one letter in lower case
+        letter = np.array([one.isalpha() and len(one.lower()) == 1
+                           for one in last.dictionary.to_pylist()], bool)
+        cut[ends[~letter[last.indices.to_numpy()]]] = 0
+        coded = pc.if_else(pa.array(cut > 0), stems, words).dictionary_encode()
+        ids = self.looked_up(coded.dictionary).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(cut)])
+        _, offsets, data = words.buffers()
+        first = np.frombuffer(offsets, np.int32)[1:len(words) + 1] - cut
+        at = np.repeat(first - ends[:-1], cut) + np.arange(ends[-1])
+        marks = pa.StringArray.from_buffers(
+            len(words), pa.py_buffer(ends.astype(np.int32).tobytes()),
+            pa.py_buffer(np.frombuffer(data, np.uint8)[at].tobytes())).dictionary_encode()
+        return pc.binary_join_element_wise(ids, pa.array(
+            [self.marks_ids(one) for one in marks.dictionary.to_pylist()], pa.binary()).take(
+            marks.indices), b"")
+
+    def marks_ids(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > CACHE_WORDS:
+                self.marks.clear()
+            self.marks[marks] = self.whole(marks) if marks else b""
+        return self.marks[marks]
+
+    def looked_up(self, words: pa.Array) -> pa.Array:
+        """The ids of each of these distinct words, from the cache or anew.
+
+        The cache is two Arrow columns. When it is full the words asked for now are what is kept.
+        """
+        places = pc.index_in(words, value_set=self.words)
+        if places.null_count:
+            new = pc.is_null(places)
+            fresh, known = words.filter(new), pc.invert(new)
+            if len(self.words) + len(fresh) > CACHE_WORDS:
+                held = places.filter(known)
+                self.words, self.ids = words.filter(known), self.ids.take(held)
+                order = np.zeros(len(words), np.int64)
+                order[known.to_numpy(zero_copy_only=False)] = np.arange(len(held))
             else:
-                fresh.add(word)
-        self.add(list(fresh))
-        for word, key, marks in made:
-            if marks not in self.marks:
-                if len(self.marks) > CACHE_WORDS:
-                    self.marks.clear()
-                self.marks[marks] = self.whole(marks)
-            cache[word] = cache[key] + self.marks[marks]
-
-    def add(self, words: list) -> None:
-        """Encode new words, many in one call; token lengths tell where each one ends."""
+                order = places.fill_null(0).to_numpy().astype(np.int64)
+            order[new.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(fresh))
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.ids = pa.concat_arrays([self.ids, self.made(fresh)])
+            places = pa.array(order)
+        return self.ids.take(places)
+
+    def made(self, words: pa.Array) -> pa.Array:
+        """The ids of new words, many in one call; token lengths tell where each one ends."""
+        if self.kind == "dropped":
+            texts = words.to_pylist()
+            alike = np.array([u.isascii() or (
+                unicodedata.is_normalized("NFC", u) and u == u.lower() and len(u.split()) == 1)
+                for u in texts], bool)
+            if not alike.all():
+                ids = [None if same else self.whole(u)
+                       for u, same in zip(texts, alike, strict=True)]
+                joint = self.made_jointly(words.filter(pa.array(alike)))
+                return pc.replace_with_mask(pa.array(ids, pa.binary()), pa.array(alike), joint)
+        return self.made_jointly(words)
+
+    def made_jointly(self, words: pa.Array) -> pa.Array:
         if self.kind == "dropped":
-            texts = [word.decode() for word in words]
-            alike = [i for i, u in enumerate(texts) if u.isascii() or (
-                unicodedata.is_normalized("NFC", u) and u == u.lower() and len(u.split()) == 1)]
-            if len(alike) < len(words):
-                for i in set(range(len(words))).difference(alike):
-                    self.cache[words[i]] = self.whole(texts[i])
-                words, texts = [words[i] for i in alike], [texts[i] for i in alike]
-            joint = " "
+            units, sizes = pc.binary_join_element_wise(" ", words, ""), sizes_of(words)
         else:
-            texts = [word if word[:1] == "\n" else " " + word for word in words]
-            joint = ""
-        sizes = pc.binary_length(pa.array(texts, pa.string())).to_numpy(
-            zero_copy_only=False).astype(np.int64)
+            units = pc.binary_join_element_wise(
+                pc.if_else(pc.starts_with(words, "\n"), "", " "), words, "")
+            sizes = sizes_of(units)
+        given, ends = encoded_text(units)
+        data, lengths = [], []
         for first in range(0, len(words), CHUNK):
-            keys, units = words[first:first + CHUNK], texts[first:first + CHUNK]
+            last = min(first + CHUNK, len(words))
             ids = np.array(self.tokenizer.encode_batch_fast(
-                [joint.join(units)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(sizes[first:first + CHUNK])
-            reached = np.cumsum(self.bytes_of[ids])
-            at = np.searchsorted(reached, ends)
+                [given[ends[first]:ends[last]].decode()], add_special_tokens=False)[0].ids, "<u4")
+            reached, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[first:last])
+            at = np.searchsorted(reached, wanted)
             if not len(reached) or at[-1] != len(reached) - 1 or not np.array_equal(
-                    reached[at], ends):
-                for key, unit in zip(keys, units, strict=True):
-                    self.cache[key] = self.whole(unit)
-                continue
-            data, start = ids.tobytes(), 0
-            for key, end in zip(keys, ((at + 1) * 4).tolist(), strict=True):
-                self.cache[key] = data[start:end]
-                start = end
+                    reached[at], wanted):
+                alone = [self.whole(one) for one in (
+                    words if self.kind == "dropped" else units)[first:last].to_pylist()]
+                data += alone
+                lengths.append([len(one) for one in alone])
+            else:
+                data.append(ids.tobytes())
+                lengths.append(np.diff(at, prepend=-1) * 4)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([[], *lengths]))]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(words), [
+            None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(data))])
+
+
+def sizes_of(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def encoded_text(units: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All units in a row, and where each one starts and the last one ends."""
+    _, offsets, data = units.buffers()
+    ends = np.frombuffer(offsets, np.int32)[units.offset:units.offset + len(units) + 1]
+    return (data.to_pybytes() if data else b""), ends
 
 
 _ENCODERS: dict[str, Encoder] = {}
