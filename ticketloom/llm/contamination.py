@@ -27,8 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import key_bits
-from ticketloom.operators.skew import fits_broadcast, spread_join
+from ticketloom.operators.skew import fits_broadcast, key_bits, spread_join
 from ticketloom.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

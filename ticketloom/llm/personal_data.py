@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.llm.common import key_bits
+from ticketloom.operators.skew import key_bits
 from ticketloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
